@@ -15,9 +15,9 @@ _DATE = "CAST(o_orderdate AS DATE)"
 _NY = "'America/New_York'"
 # Hours that survive the round trip through UTC and are not shown twice.
 _REAL_HOURS = f"""
-    SELECT datetime FROM (SELECT datetime, timezone({_NY}, datetime) AS at FROM order_hours)
-    WHERE timezone({_NY}, at) = datetime AND timezone({_NY}, at + INTERVAL 1 HOUR) <> datetime
-      AND timezone({_NY}, at - INTERVAL 1 HOUR) <> datetime"""
+    SELECT datetime FROM (SELECT datetime, timezone({_NY}, datetime) AS instant FROM order_hours)
+    WHERE timezone({_NY}, instant) = datetime AND timezone({_NY}, instant + INTERVAL 1 HOUR) <> datetime
+      AND timezone({_NY}, instant - INTERVAL 1 HOUR) <> datetime"""
 
 
 @query("date_parts", """
@@ -58,16 +58,16 @@ def weekend_flag(spark, d):
 
 
 @query("cyclic_encode", """
-    SELECT event_id, round(cos(2 * pi() / 23 * hour(ts)), 6) AS hour_cos, round(sin(2 * pi() / 23 * hour(ts)), 6) AS hour_sin,
-           round(cos(2 * pi() / 11 * month(ts)), 6) AS month_cos, round(sin(2 * pi() / 11 * month(ts)), 6) AS month_sin,
-           round(cos(2 * pi() / 24 * hour(ts)), 6) AS true_cos FROM events""")
+    SELECT event_id, round(cos(2 * pi() / 23 * hour(ts)), 6) + 0.0 AS hour_cos, round(sin(2 * pi() / 23 * hour(ts)), 6) + 0.0 AS hour_sin,
+           round(cos(2 * pi() / 11 * month(ts)), 6) + 0.0 AS month_cos, round(sin(2 * pi() / 11 * month(ts)), 6) + 0.0 AS month_sin,
+           round(cos(2 * pi() / 24 * hour(ts)), 6) + 0.0 AS true_cos FROM events""")
 def cyclic_encode(spark, d):
     hour, month = F.hour("ts"), F.month("ts")
     hour_cos, hour_sin = cal.cyclic(hour, 0, 23)
     month_cos, month_sin = cal.cyclic(month, 1, 12)
     true_cos, _ = cal.cyclic(hour, 0, 23, period=24)
     columns = {"hour_cos": hour_cos, "hour_sin": hour_sin, "month_cos": month_cos, "month_sin": month_sin, "true_cos": true_cos}
-    return c.table(spark, d, "events").select("event_id", *[F.round(v, 6).alias(k) for k, v in columns.items()])
+    return c.table(spark, d, "events").select("event_id", *[(F.round(v, 6) + 0.0).alias(k) for k, v in columns.items()])
 
 
 @query("dow_number", f"SELECT o_orderkey, CAST(isodow({_DATE}) AS INTEGER) AS dow_num FROM orders")

@@ -15,7 +15,7 @@ from gridcast import schemas
 from gridcast.functions.calendar import wall_hour
 from gridcast.operators import joins
 from gridcast.plans import day_ahead
-from gridcast.session import scratch_path
+from gridcast.session import materialize, scratch_path
 from gridcast.sources.delimited import read_zone_dimension, write_delimited
 from gridcast.sources.weather_documents import explode_documents, to_documents, weather_rows
 
@@ -65,6 +65,12 @@ def load_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hourly frame as a written table, for queries that use it more than once: the raw readings are
+    scanned a single time, and joins are planned on the table's real size."""
+    return materialize(load_hourly(spark, sf_dir), "hourly")
+
+
 def zone_dim(hourly: DataFrame) -> DataFrame:
     return hourly.groupBy("zone").agg(
         F.round(F.avg("temp"), 4).alias("lat"), (-F.round(F.avg("mw"), 4)).alias("long"), F.max("mw").alias("hist_peak_mw"),
@@ -104,19 +110,25 @@ def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weather_rows(explode_documents(landed_documents(spark, sf_dir)))
 
 
+def hours_of(days: DataFrame) -> DataFrame:
+    """Every hour of every (zone, date)."""
+    spine = joins.zone_hours(days.select("zone", "date"), F.col("date").cast("timestamp_ntz"))
+    return spine.select("zone", "datetime")
+
+
 def zone_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readings(spark, sf_dir).select("zone", "date").distinct()
 
 
 def features(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    days = zone_days(spark, sf_dir)
-    return day_ahead.feature_frame(days, F.col("date").cast("timestamp_ntz"), weather(spark, sf_dir), **options)
+    documents = landed_documents(spark, sf_dir)
+    found = weather_rows(explode_documents(documents))
+    return day_ahead.feature_frame(documents, F.col("date").cast("timestamp_ntz"), found, **options)
 
 
 def calendar_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = zone_days(spark, sf_dir)
-    spine = joins.zone_hours(days, F.col("date").cast("timestamp_ntz")).drop("date")
-    return joins.calendar_weather(spine, weather(spark, sf_dir))
+    documents = landed_documents(spark, sf_dir)
+    return joins.calendar_weather(hours_of(documents), weather_rows(explode_documents(documents)))
 
 
 def train(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +154,7 @@ def order_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def forecast_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    hourly = load_hourly(spark, sf_dir)
+    hourly = stored_hourly(spark, sf_dir)
     return hourly, zone_dim(hourly)
 
 

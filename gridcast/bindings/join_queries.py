@@ -39,7 +39,7 @@ def zone_enrich_inner(spark, d):
     SELECT f.zone, CAST(f.ds AS VARCHAR) AS ds, f.mw, p.mw_max, p.h_max
     FROM load_hourly f JOIN zone_peaks p ON f.zone = p.zone AND f.date = p.date""", "zone_peaks"))
 def zone_peak_join(spark, d):
-    hourly = c.load_hourly(spark, d)
+    hourly = c.stored_hourly(spark, d)
     rows = hourly.join(peaks.zone_peaks(hourly, c.BY_DAY), ["zone", "date"])
     return c.as_text(rows, "ds").select("zone", "ds", "mw", "mw_max", "h_max")
 
@@ -48,7 +48,7 @@ def zone_peak_join(spark, d):
     SELECT f.zone, CAST(f.date AS VARCHAR) AS date, f.mw AS mw_sys
     FROM load_hourly f JOIN system_peak p ON f.date = p.date AND f.hour = p.peak_hour""", "system_peak"))
 def load_at_system_peak(spark, d):
-    return c.as_text(peaks.load_at_system_peak(c.load_hourly(spark, d), c.BY_DAY), "date")
+    return c.as_text(peaks.load_at_system_peak(c.stored_hourly(spark, d), c.BY_DAY), "date")
 
 
 @query("known_zones_semi", sql("""
@@ -99,12 +99,11 @@ def zone_lookup_first(spark, d):
 
 @query("zone_hour_cross", sql("SELECT zone, CAST(datetime AS VARCHAR) AS datetime FROM spine", "spine"))
 def zone_hour_cross(spark, d):
-    rows = joins.zone_hours(c.zone_days(spark, d), F.col("date").cast("timestamp_ntz"))
-    return c.as_text(rows, "datetime").select("zone", "datetime")
+    return c.as_text(c.hours_of(c.zone_days(spark, d)), "datetime")
 
 
 @query("attach_scalar", sql("""
     SELECT hour, mw AS system_mw, (SELECT arg_max(hour, (mw, -hour)) FROM totals) AS peak_hour FROM totals""", "load_hourly",
     extra={"totals": "SELECT hour, round(sum(mw), 4) AS mw FROM load_hourly GROUP BY hour"}))
 def attach_scalar(spark, d):
-    return c.rounded(system_table(c.load_hourly(spark, d)), 4, "system_mw")
+    return c.rounded(system_table(c.stored_hourly(spark, d)), 4, "system_mw")

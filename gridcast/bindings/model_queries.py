@@ -91,7 +91,7 @@ _LAGGED = {"lagged": """
 
 @query("per_zone_lag_fit", sql(_coefficient_rows(_LAG_FEATURES), "load_hourly", extra={**_LAGGED, **_linear_views("lagged", _LAG_FEATURES)}))
 def per_zone_lag_fit(spark, d):
-    return _explode_models(linear.fit(lag_features(c.load_hourly(spark, d)), _LAG_FEATURES))
+    return _explode_models(linear.fit(lag_features(c.stored_hourly(spark, d)), _LAG_FEATURES))
 
 
 @query("per_zone_predict", sql("SELECT l_orderkey, l_linenumber, zone, mw, round(prediction, 4) AS prediction FROM scored", "train", extra=_SCORED))
@@ -186,9 +186,7 @@ _STUMPS = """
     FROM spine s LEFT JOIN load_hourly l ON s.zone = l.zone AND s.datetime = l.ds LEFT JOIN stumps p ON s.zone = p.zone""",
     "spine", "load_hourly", extra={"stumps": _STUMPS}))
 def per_zone_tree_score(spark, d):
-    from gridcast.operators import joins
-
-    hourly = c.load_hourly(spark, d)
+    hourly = c.stored_hourly(spark, d)
     means = hourly.groupBy("zone").agg(F.avg("temp").alias("t"))
     low, early = F.col("temp") <= F.col("t"), F.col("hour") <= 11.5
     stats = hourly.join(means, "zone").groupBy("zone", "t").agg(
@@ -206,7 +204,7 @@ def per_zone_tree_score(spark, d):
     nodes = stats.select("zone", F.inline(F.array(
         node(0, 0, "temp", F.col("t")), node(0, 1, value=F.col("low")), node(0, 2, value=F.col("high")),
         node(1, 0, "hour", F.lit(11.5), weight=0.1), node(1, 1, value=F.col("early"), weight=0.1), node(1, 2, value=F.col("late"), weight=0.1))))
-    spine = joins.zone_hours(c.zone_days(spark, d), F.col("date").cast("timestamp_ntz")).drop("date")
+    spine = c.hours_of(hourly.select("zone", "date").distinct())
     rows = spine.withColumn("hour", F.hour("datetime")).join(
         hourly.select("zone", F.col("ds").alias("datetime"), "temp"), ["zone", "datetime"], "left")
     scored = trees.score_trees(rows, nodes, ["temp", "hour"])
@@ -237,7 +235,7 @@ _PAIRS = "PARTITION BY zone ORDER BY ds"
         "sums": "SELECT zone, " + ", ".join([f"sum(x{i} * x{j}) AS m_{i}_{j}" for i, j in product(range(2), range(2))] + [f"sum(x{i} * mw) AS m_{i}_2" for i in range(2)]) + " FROM lagged GROUP BY zone",
         **eliminate("sums", ["zone"], 2, 3)}))
 def first_order_response_fit(spark, d):
-    fitted = response.first_order(c.load_hourly(spark, d).select("zone", "ds", "mw", "temp"), u="temp", y="mw")
+    fitted = response.first_order(c.stored_hourly(spark, d).select("zone", "ds", "mw", "temp"), u="temp", y="mw")
     return c.rounded(c.rounded(c.filled(fitted, -1.0, "k", "tau"), 6, "a", "b", "tau"), 4, "k")
 
 
@@ -256,5 +254,5 @@ def first_order_response_fit(spark, d):
         "sums": "SELECT zone, " + ", ".join([f"sum(x{i} * x{j}) AS m_{i}_{j}" for i, j in product(range(4), range(4))] + [f"sum(x{i} * mw) AS m_{i}_4" for i in range(4)]) + " FROM lagged GROUP BY zone",
         **eliminate("sums", ["zone"], 4, 5)}))
 def second_order_response_fit(spark, d):
-    fitted = response.second_order(c.load_hourly(spark, d).select("zone", "ds", "mw", "temp"), u="temp", y="mw")
+    fitted = response.second_order(c.stored_hourly(spark, d).select("zone", "ds", "mw", "temp"), u="temp", y="mw")
     return c.rounded(c.rounded(c.filled(fitted, -1.0, "k", "wn", "zeta"), 6, "a1", "a2", "b1", "b2", "wn", "zeta"), 4, "k")

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from gridcast.bindings import common as c
 from gridcast.bindings.common import query, sql
+from gridcast.functions.calendar import truncate_hour
 from gridcast.operators import peaks, sheets, windows
 from gridcast.operators.selection import zone_subset
-from gridcast.plans.day_ahead import hourly_table, peak_table, system_table
+from gridcast.plans.day_ahead import day_ahead_tables, hourly_table, peak_table, system_table
 from gridcast.plans.dashboard import zone_dashboard
 
 _IN = c.sql_list(c.SELECTED)
@@ -30,8 +31,6 @@ def subset_hourly(spark, d):
 @query("history_hourly", """
     SELECT CAST(date_trunc('hour', ts) AS VARCHAR) AS ds, event_type AS zone, round(sum(value), 4) AS mw FROM events GROUP BY ALL""")
 def history_hourly(spark, d):
-    from gridcast.functions.calendar import truncate_hour
-
     raw = c.table(spark, d, "events").select(
         truncate_hour(F.col("ts")).alias("ds"), F.col("event_type").alias("zone"), F.col("value").alias("mw"))
     return c.rounded(c.as_text(peaks.history_hourly(raw), "ds"), 4, "mw")
@@ -51,7 +50,7 @@ def zone_peak_hour(spark, d):
     SELECT 'all' AS chosen, hour, round_even(avg(temp), 2) AS temp FROM load_hourly GROUP BY hour
     UNION ALL SELECT 'selected', hour, round_even(avg(temp), 2) FROM load_hourly WHERE zone IN {_IN} GROUP BY hour""", "load_hourly"))
 def avg_temp_hourly(spark, d):
-    hourly = c.load_hourly(spark, d)
+    hourly = c.stored_hourly(spark, d)
     everything = peaks.avg_temp_hourly(hourly).withColumn("chosen", F.lit("all"))
     return everything.unionByName(
         peaks.avg_temp_hourly(zone_subset(hourly, c.SELECTED)).withColumn("chosen", F.lit("selected")))
@@ -77,7 +76,7 @@ def subset_peak(spark, d):
     SELECT zone, CAST(ds AS VARCHAR) AS ds, mw, temp, coalesce(lag(mw) OVER w, -1) AS previous_mw, coalesce(lag(temp) OVER w, -1) AS previous_temp
     FROM load_hourly WINDOW w AS (PARTITION BY zone ORDER BY ds)""", "load_hourly"))
 def lag_one(spark, d):
-    rows = windows.lag_one(c.load_hourly(spark, d).select("zone", "ds", "mw", "temp"))
+    rows = windows.lag_one(c.stored_hourly(spark, d).select("zone", "ds", "mw", "temp"))
     return c.filled(c.as_text(rows, "ds"), -1.0, "previous_mw", "previous_temp")
 
 
@@ -85,7 +84,7 @@ def lag_one(spark, d):
     SELECT * FROM (SELECT zone, CAST(ds AS VARCHAR) AS ds, mw, temp, lag(mw, 48) OVER w AS previous_mw, lag(temp, 24) OVER w AS previous_temp
     FROM load_hourly WINDOW w AS (PARTITION BY zone ORDER BY load_hourly.ds)) WHERE previous_mw IS NOT NULL AND previous_temp IS NOT NULL""", "load_hourly"))
 def lag_features(spark, d):
-    return c.as_text(windows.lag_features(c.load_hourly(spark, d).select("zone", "ds", "mw", "temp")), "ds")
+    return c.as_text(windows.lag_features(c.stored_hourly(spark, d).select("zone", "ds", "mw", "temp")), "ds")
 
 
 @query("hour_delta", sql(f"""
@@ -95,7 +94,7 @@ def lag_features(spark, d):
           SELECT 'selected', date, hour, round(sum(mw), 4) FROM load_hourly WHERE zone IN {_IN} GROUP BY date, hour)
     WINDOW w AS (PARTITION BY chosen, date ORDER BY hour)""", "system_hourly"))
 def hour_delta(spark, d):
-    hourly = c.load_hourly(spark, d)
+    hourly = c.stored_hourly(spark, d)
 
     def deltas(name, rows):
         return windows.hour_delta(peaks.hourly_total(rows, c.BY_DAY), c.BY_DAY).withColumn("chosen", F.lit(name))
@@ -116,7 +115,7 @@ def table_calc_difference(spark, d):
     SELECT zone, mw_max, CAST(trunc((mw_max - (SELECT min(mw_max) FROM m)) / (SELECT nullif(max(mw_max) - min(mw_max), 0) FROM m) * 40 + 10) AS INTEGER) AS radius
     FROM m""", "load_hourly", extra={"m": "SELECT zone, max(mw) AS mw_max FROM load_hourly GROUP BY zone"}))
 def minmax_scale(spark, d):
-    rows = peaks.minmax_scale(peaks.zone_peaks(c.load_hourly(spark, d)), "mw_max", "radius")
+    rows = peaks.minmax_scale(peaks.zone_peaks(c.stored_hourly(spark, d)), "mw_max", "radius")
     return rows.select("zone", "mw_max", F.col("radius").cast("int").alias("radius"))
 
 
@@ -169,8 +168,6 @@ def zone_detail_sheet(spark, d):
     SELECT zone, CAST(date AS VARCHAR) AS date, peak_hour, peak_hour_mw, hist_peak_mw, round(pct_hist_peak_mw, 6) AS pct_hist_peak_mw
     FROM peak_table""", "peak_table"))
 def day_ahead(spark, d):
-    from gridcast.plans.day_ahead import day_ahead_tables
-
     tables = day_ahead_tables(*c.forecast_parts(spark, d), c.BY_DAY)
     return c.rounded(c.as_text(tables.peak, "date"), 6, "pct_hist_peak_mw")
 

@@ -54,7 +54,7 @@ def next_forecast_date(spark, d):
     for x, kind, agg in [("zone", "string", "Count"), ("date", "date", "Count"), ("hour", "integer", "Sum"), ("mw", "real", "Sum"), ("temp", "real", "Sum"), ("ds", "datetime", "Count")]),
     "load_hourly"))
 def column_profile(spark, d):
-    return profile.column_profile(c.load_hourly(spark, d), exact=True)
+    return profile.column_profile(c.stored_hourly(spark, d), exact=True)
 
 
 @query("summary_stats", sql(" UNION ALL ".join(

@@ -37,8 +37,8 @@ _HOLIDAY = """(
         coalesce(temp, -999) AS temp, coalesce(precip, -999) AS precip, coalesce(rh, -999) AS rh,
         round(coalesce(pressure, -999), 6) AS pressure, coalesce(windspeed, -999) AS windspeed,
         coalesce(rain, true) AS rain, coalesce(snow, true) AS snow, 1 AS recent,
-        round(cos(2 * pi() / 23 * hour(s.datetime)), 6) AS hour_cos, round(sin(2 * pi() / 23 * hour(s.datetime)), 6) AS hour_sin,
-        round(cos(2 * pi() / 11 * month(s.datetime)), 6) AS month_cos, round(sin(2 * pi() / 11 * month(s.datetime)), 6) AS month_sin,
+        round(cos(2 * pi() / 23 * hour(s.datetime)), 6) + 0.0 AS hour_cos, round(sin(2 * pi() / 23 * hour(s.datetime)), 6) + 0.0 AS hour_sin,
+        round(cos(2 * pi() / 11 * month(s.datetime)), 6) + 0.0 AS month_cos, round(sin(2 * pi() / 11 * month(s.datetime)), 6) + 0.0 AS month_sin,
         CAST(isodow(s.datetime) AS INTEGER) AS dow_num,
         CASE WHEN month(s.datetime) IN (6, 7, 8, 9) THEN 1 WHEN month(s.datetime) IN (5, 10) THEN 2
              WHEN month(s.datetime) IN (4, 11) THEN 3 ELSE 4 END AS season_num
@@ -46,7 +46,9 @@ _HOLIDAY = """(
 def feature_projection(spark, d):
     frame = c.features(spark, d, season=True, missing_flags_as_true=True)
     shown = c.filled(c.as_text(frame, "datetime", "date"), -999.0, *_MEASURES)
-    return c.rounded(shown, 6, "pressure", "hour_cos", "hour_sin", "month_cos", "month_sin")
+    # Adding zero turns a negative zero into a positive one.
+    circular = {x: F.col(x) + 0.0 for x in ("hour_cos", "hour_sin", "month_cos", "month_sin")}
+    return c.rounded(shown, 6, "pressure", *circular).withColumns(circular)
 
 
 @query("weather_rename", sql("""
@@ -94,7 +96,7 @@ def drop_incomplete(spark, d):
     SELECT f.zone, CAST(f.ds AS VARCHAR) AS ds, f.mw, f.temp
     FROM load_hourly f JOIN system_peak p ON f.date = p.date AND f.hour = p.peak_hour""", "system_peak"))
 def peak_hour_slice(spark, d):
-    hourly = c.load_hourly(spark, d)
+    hourly = c.stored_hourly(spark, d)
     peak = peaks.system_peak(peaks.hourly_total(hourly, c.BY_DAY), c.BY_DAY)
     return _hourly_out(peaks.peak_hour_slice(hourly, peak, c.BY_DAY))
 
@@ -148,9 +150,9 @@ def hour_set(spark, d):
     return c.as_text(rows, "ds").select("zone", "ds", "mw", "temp", "in_set")
 
 
-@query("non_empty_check", sql("SELECT count(*) > 0 AS finished FROM load_hourly", "load_hourly"))
+@query("non_empty_check", sql("SELECT count(*) > 0 AS finished FROM events"))
 def non_empty_check(spark, d):
-    return sel.non_empty(c.load_hourly(spark, d))
+    return sel.non_empty(c.table(spark, d, "events"))
 
 
 @query("selection_state", sql(f"""

@@ -9,6 +9,7 @@ the rows in bounded groups.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -40,18 +41,20 @@ def fit_forest(df: DataFrame, features: Sequence[str], target: str, keys: Sequen
 
 def fit_boosted(
     df: DataFrame, zones: Sequence[str], features: Sequence[str], target: str,
-    rounds: int = 20, depth: int = 5, seed: int = 42,
+    rounds: int = 20, depth: int = 5, seed: int = 42, parallelism: int = 8,
 ) -> dict[str, GBTRegressionModel]:
     """One boosted model per zone. Rows are written once, split into folders by zone, so that each fit
     reads its own zone only."""
     spark = df.sparkSession
     stored = materialize_by_zone(df.select("zone", *features, target))
     learner = GBTRegressor(featuresCol="features", labelCol=target, maxIter=rounds, maxDepth=depth, seed=seed)
-    models = {}
-    for zone in zones:
-        rows = assemble(stored.filter(F.col("zone") == zone), features)
-        models[zone] = learner.fit(rows)
-    return models
+
+    def fit(zone: str) -> GBTRegressionModel:
+        return learner.fit(assemble(stored.filter(F.col("zone") == zone), features))
+
+    # The fits are independent jobs; several run at once, as in the tuning tools of pyspark.ml.
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        return dict(zip(zones, pool.map(fit, zones)))
 
 
 def materialize_by_zone(df: DataFrame) -> DataFrame:
@@ -93,7 +96,7 @@ def _score_arrays(trees: list[tuple], x: np.ndarray, inclusive: bool) -> np.ndar
 
 def score_trees(
     df: DataFrame, nodes: DataFrame, features: Sequence[str], out: str = "prediction",
-    inclusive: bool = True, max_nodes: int = 2_000_000, rows_per_group: int = 500_000,
+    inclusive: bool = True, max_nodes: int = 500_000, rows_per_group: int = 500_000,
 ) -> DataFrame:
     """Sum of weighted leaves of the zone's trees. A missing feature follows the node's default branch;
     ``inclusive`` says whether a value equal to the threshold goes left. Zones without trees get null."""

@@ -76,8 +76,9 @@ def nearest_zone(points: DataFrame, sites: DataFrame, point_id: str, max_sites:
     best = points.withColumn("best", F.lit(None).cast("struct<distance:double,site_order:bigint,zone:string>"))
     for part in parts:
         listed = part.agg(F.collect_list(F.struct("lat", "long", "site_order", "zone")).alias("sites"))
+        best = best.withColumn("sites", listed.scalar())
         candidates = F.transform(
-            listed.scalar(),
+            "sites",
             lambda s: F.struct(
                 (F.abs(F.col("lat") - s["lat"]) + F.abs(F.col("long") - s["long"])).alias("distance"),
                 s["site_order"].alias("site_order"),

@@ -74,14 +74,24 @@ def top_zones(df: DataFrame, n: int = 5, value: str = "mw_max") -> DataFrame:
     return df.orderBy(F.desc(value), "zone").limit(n)
 
 
+def top_flag(df: DataFrame, by: Sequence[str], n: int = 5, value: str = "mw_max", out: str = "in_top") -> DataFrame:
+    """Mark the ``n`` zones with the largest value in each group. A limit on the rank lets Spark keep
+    only ``n`` rows per group and task before the shuffle; the few marked zones are joined back."""
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(value), "zone"))
+    largest = df.select("zone", *by, value).withColumn("__rank", rank).filter(F.col("__rank") <= n)
+    marked = largest.select("zone", *by, F.lit(True).alias(out))
+    return df.join(marked, ["zone", *by], "left").withColumn(out, F.coalesce(out, F.lit(False)))
+
+
 def minmax_scale(df: DataFrame, value: str, out: str, low: float = 10.0, high: float = 50.0, by: Sequence[str] = ()) -> DataFrame:
     """Scale a column linearly to ``low..high``; null where all values are equal."""
     def scaled(smallest: Column, largest: Column) -> Column:
         spread = F.nullif(largest - smallest, F.lit(0.0))
         return (F.col(value) - smallest) / spread * (high - low) + low
 
+    ends = F.struct(F.min(value).alias("smallest"), F.max(value).alias("largest")).alias("__ends")
     if by:
-        w = Window.partitionBy(*by)
-        return df.withColumn(out, scaled(F.min(value).over(w), F.max(value).over(w)))
-    ends = df.agg(F.struct(F.min(value).alias("smallest"), F.max(value).alias("largest")).alias("ends")).scalar()
-    return df.withColumn(out, scaled(ends["smallest"], ends["largest"]))
+        joined = df.join(df.groupBy(*by).agg(ends), list(by), "left")
+        return joined.withColumn(out, scaled(F.col("__ends.smallest"), F.col("__ends.largest"))).drop("__ends")
+    span = df.agg(ends).scalar()
+    return df.withColumn(out, scaled(span["smallest"], span["largest"]))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridcast.functions.display import pct_of_record, ratio, zone_label
@@ -15,7 +15,6 @@ def zone_dashboard(forecast: DataFrame, dim: DataFrame, hour: int, selection: Se
     """Per day and zone: load at ``hour``, own peak and its hour, load at the system peak, share of the
     record, marker size, label, and whether it is among the day's largest.
 
-    Windows run over the zones of one day, after the hours are reduced.
     """
     by = ["date"]
     now = forecast.filter(F.col("hour") == hour).select("zone", "date", "mw", "temp").join(dim, "zone")
@@ -25,17 +24,14 @@ def zone_dashboard(forecast: DataFrame, dim: DataFrame, hour: int, selection: Se
         .join(peaks.load_at_system_peak(forecast, by), ["zone", *by])
         .join(system, by)
     )
-    sized = peaks.minmax_scale(rows, "mw_max", "radius", by=by)
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("mw_max"), "zone"))
-    exact_load = F.col("mw")
+    sized = peaks.top_flag(peaks.minmax_scale(rows, "mw_max", "radius", by=by), by, top)
     shown = sized.withColumns({
         "pct": ratio(F.col("mw_max"), F.col("hist_peak_mw")),
         "radius": F.col("radius").cast("int"),
-        "in_top": rank <= top,
         "selected": F.col("zone").isin(list(selection)) if selection else F.lit(False),
         "label": zone_label(
             F.col("full_zone_name"), F.col("zone"), F.col("h_max"), F.col("mw_max"), F.col("system_hour"),
-            F.col("mw_sys"), pct_of_record(F.col("mw_max"), F.col("hist_peak_mw")), F.lit(hour), exact_load, F.col("temp"),
+            F.col("mw_sys"), pct_of_record(F.col("mw_max"), F.col("hist_peak_mw")), F.lit(hour), F.col("mw"), F.col("temp"),
         ),
     })
     return shown.withColumn("mw", F.bround("mw", 2))

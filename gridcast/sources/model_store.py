@@ -35,7 +35,7 @@ def load_trees(spark: SparkSession, root: str, zones: list[str], features: list[
     for zone in zones:
         path = f"{root}/zone={zone}"
         nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*")
-        weights = spark.read.parquet(f"{path}/treesMetadata").select("treeID", "weights")
+        weights = spark.read.parquet(f"{path}/treesMetadata").toDF("treeID", "metadata", "weights")
         leaf = F.col("leftChild") < 0
         frames.append(
             nodes.join(weights, "treeID").select(
