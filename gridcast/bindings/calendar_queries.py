@@ -156,10 +156,10 @@ def pct_of_record(spark, d):
         "zone", "date", F.round(display.ratio(peak, record), 6).alias("pct"), display.pct_of_record(peak, record).alias("percent"))
 
 
-@query("round_half_even", sql("SELECT zone, CAST(ds AS VARCHAR) AS ds, round_even(temp, 0) AS whole, round_even(temp / 2, 2) AS cents FROM load_hourly", "load_hourly"))
+@query("round_half_even", sql("SELECT zone, CAST(ds AS VARCHAR) AS ds, round_even(temp, 0) AS whole, round_even(temp * 2, 0) AS halves FROM load_hourly", "load_hourly"))
 def round_half_even(spark, d):
     return c.as_text(c.load_hourly(spark, d), "ds").select(
-        "zone", "ds", display.round_half_even(F.col("temp")).alias("whole"), display.round_half_even(F.col("temp") / 2, 2).alias("cents"))
+        "zone", "ds", display.round_half_even(F.col("temp")).alias("whole"), display.round_half_even(F.col("temp") * 2).alias("halves"))
 
 
 @query("location_pair", sql("SELECT zone, lat AS first, long AS second FROM zone_dim", "zone_dim"))

@@ -34,9 +34,10 @@ def widest_range(spark, d):
 
 
 @query("correlation_matrix", sql(" UNION ALL ".join(
-    f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 4) AS corr FROM train" for a in _NUMBERS for b in _NUMBERS), "train"))
+    f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 4) + 0.0 AS corr FROM train" for a in _NUMBERS for b in _NUMBERS), "train"))
 def correlation_matrix(spark, d):
-    return profile.correlation_matrix(c.train(spark, d), _NUMBERS)
+    # Adding zero turns a negative zero into a positive one.
+    return profile.correlation_matrix(c.train(spark, d), _NUMBERS).withColumn("corr", F.col("corr") + 0.0)
 
 
 @query("global_max", sql("SELECT max(temp) AS temp FROM load_hourly", "load_hourly"))

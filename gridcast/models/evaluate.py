@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 def random_split(df: DataFrame, keys: Sequence[str], test_share: float = 0.2, seed: int = 42) -> DataFrame:
     """Add a 0/1 ``test`` column by hashing the row key: the same row always lands in the same part,
     however the data is partitioned or re-read."""
-    lowest_share = int(test_share * 2**64) - 2**63
-    return df.withColumn("test", (F.xxhash64(*keys, F.lit(seed)) < F.lit(lowest_share)).cast("int"))
+    # Hashes are even over all 64-bit integers, so a share is a limit on the hash.
+    limit = min(int(test_share * 2**64) - 2**63, 2**63 - 1)
+    return df.withColumn("test", (F.xxhash64(*keys, F.lit(seed)) < F.lit(limit)).cast("int"))
 
 
 def standard_scale(train: DataFrame, rows: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -34,18 +34,18 @@ def known_zones(df: DataFrame, dim: DataFrame) -> DataFrame:
     return df.join(dim.select("zone"), "zone", "left_semi")
 
 
-def file_order() -> Column:
-    """Position of a row in its source files, for 'first row wins' rules."""
-    return F.struct(
-        F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
+def in_file_order(df: DataFrame, out: str = "position") -> DataFrame:
+    """Add the position of each row in its source files, for 'first row wins' rules."""
+    position = F.struct(
+        F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("row")
     )
+    return df.withColumn(out, position)
 
 
 def first_per_zone(df: DataFrame, order: Column, *columns: str) -> DataFrame:
-    """One row per zone: the values of the first row in ``order``. A partial aggregate, not a window,
-    so a zone with many rows is reduced before the shuffle."""
-    first = F.min_by(F.struct(*columns), order).alias("first")
-    return df.groupBy("zone").agg(first).select("zone", "first.*")
+    """One row per zone: the values of the first row in ``order``, which must be unique. A partial
+    aggregate, not a window, so a zone with many rows is reduced before the shuffle."""
+    return df.groupBy("zone").agg(*[F.min_by(c, order).alias(c) for c in columns])
 
 
 def zone_lookup(df: DataFrame, lookup: DataFrame, order: Column, *columns: str) -> DataFrame:

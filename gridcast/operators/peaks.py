@@ -55,10 +55,11 @@ def peak_hour_slice(df: DataFrame, peaks: DataFrame, by: Sequence[str] = ()) ->
     return df.filter(F.col("hour") == peaks.select("peak_hour").scalar())
 
 
-def load_at_system_peak(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Each zone's load at the system peak hour."""
+def load_at_system_peak(df: DataFrame, by: Sequence[str] = (), hour_as: str | None = None) -> DataFrame:
+    """Each zone's load at the system peak hour, with that hour when a name for it is given."""
     peaks = system_peak(hourly_total(df, by), by)
-    return peak_hour_slice(df, peaks, by).select("zone", *by, F.col("mw").alias("mw_sys"))
+    hour = [F.col("hour").alias(hour_as)] if hour_as else []
+    return peak_hour_slice(df, peaks, by).select("zone", *by, *hour, F.col("mw").alias("mw_sys"))
 
 
 def subset_peak(df: DataFrame, selection: DataFrame, dim: DataFrame, by: Sequence[str] = ()) -> DataFrame:

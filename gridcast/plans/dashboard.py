@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridcast.functions.display import pct_of_record, ratio, zone_label
 from gridcast.operators import peaks
+from gridcast.session import materialize
 
 
 def zone_dashboard(forecast: DataFrame, dim: DataFrame, hour: int, selection: Sequence[str] = (), top: int = 5) -> DataFrame:
@@ -18,11 +19,10 @@ def zone_dashboard(forecast: DataFrame, dim: DataFrame, hour: int, selection: Se
     """
     by = ["date"]
     now = forecast.filter(F.col("hour") == hour).select("zone", "date", "mw", "temp").join(dim, "zone")
-    system = peaks.system_peak(peaks.hourly_total(forecast, by), by).select("date", F.col("peak_hour").alias("system_hour"))
-    rows = (
-        now.join(peaks.zone_peaks(forecast, by), ["zone", *by])
-        .join(peaks.load_at_system_peak(forecast, by), ["zone", *by])
-        .join(system, by)
+    at_system_peak = peaks.load_at_system_peak(forecast, by, hour_as="system_hour")
+    # Scaling and ranking look at all rows of a day; they read the joined rows instead of redoing them.
+    rows = materialize(
+        now.join(peaks.zone_peaks(forecast, by), ["zone", *by]).join(at_system_peak, ["zone", *by]), "dashboard"
     )
     sized = peaks.top_flag(peaks.minmax_scale(rows, "mw_max", "radius", by=by), by, top)
     shown = sized.withColumns({
