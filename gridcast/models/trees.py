@@ -28,11 +28,17 @@ def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip").transform(numbers)
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Training passes over its rows many times; use every core even when the input is one small file."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def fit_forest(df: DataFrame, features: Sequence[str], target: str, keys: Sequence[str], trees: int = 100, seed: int = 42) -> DataFrame:
     """Split, scale and fit a random forest; returns the scored test rows."""
     split = random_split(df, keys, seed=seed)
     train = split.filter("test = 0")
-    scaled = assemble(standard_scale(train, split, features), features)
+    scaled = _spread(assemble(standard_scale(train, split, features), features))
     model = RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=trees, seed=seed).fit(
         scaled.filter("test = 0")
     )

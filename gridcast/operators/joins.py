@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridcast.functions.display import ratio
+from gridcast.session import materialize
 
 
 def calendar_weather(calendar: DataFrame, weather: DataFrame, on: Sequence[str] = ("zone", "datetime")) -> DataFrame:
@@ -67,6 +68,7 @@ def nearest_zone(points: DataFrame, sites: DataFrame, point_id: str, max_sites:
     """
     first_here = F.min(F.struct(F.col("site_order").cast("long").alias("site_order"), "zone"))
     compact = sites.groupBy("lat", "long").agg(first_here.alias("site")).select("lat", "long", "site.*")
+    compact = materialize(compact, "sites")
     n_sites = compact.count()
     if n_sites <= max_sites:
         parts = [compact]

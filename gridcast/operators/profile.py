@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations_with_replacement
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -124,75 +124,86 @@ def _kind(kind: T.DataType) -> str:
 
 def summary_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, standard deviation, extremes and exact quartiles of numeric columns."""
-    quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
+    moments = _moments(df, columns)
+    quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75], moments=moments)
+    rows = [
+        (c, m["count"], m["mean"], m["std"], m["min"], *[quartiles.get((c, p)) for p in (0.25, 0.5, 0.75)], m["max"])
+        for c, m in moments.items()
+    ]
+    return df.sparkSession.createDataFrame(
+        rows, "column string, count bigint, mean double, std double, min double, q25 double, q50 double, q75 double, max double"
+    )
+
+
+def _present(df: DataFrame, column: str) -> Column:
+    """The number, or null where it is missing or not a number."""
+    v = _number(df, column)
+    return F.when(~F.isnan(v), v)
+
+
+def _moments(df: DataFrame, columns: Sequence[str]) -> dict[str, Row]:
+    """One result row per column, from one pass."""
     row = df.agg(*[
         F.struct(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
                  F.min(v).alias("min"), F.max(v).alias("max")).alias(c)
-        for c in columns for v in [_number(df, c)]
-    ])
-    stats = []
-    for c in columns:
-        q = [F.lit(quartiles.get((c, p))).cast("double") for p in (0.25, 0.5, 0.75)]
-        stats.append(F.struct(
-            F.lit(c).alias("column"),
-            *[F.col(f"{c}.{s}").alias(s) for s in ("count", "mean", "std", "min")],
-            q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"), F.col(f"{c}.max").alias("max"),
-        ))
-    return _long_form(row, stats)
+        for c in columns for v in [_present(df, c)]
+    ]).first()
+    return {c: row[c] for c in columns}
 
 
 def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], bins: int = 1024
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], bins: int = 8192,
+    moments: dict[str, Row] | None = None,
 ) -> dict[tuple[str, float], float]:
     """Exact quantiles with linear interpolation, without sorting or gathering rows.
 
     Each pass counts values in ``bins`` equal parts of an interval and goes on with the part that holds
     the wanted rank, until that part is a single value. A pass shuffles only bin counts, and the driver
-    sees at most ``bins`` rows per wanted rank.
+    sees at most ``bins`` of them per wanted rank.
     """
-    numbers = {c: _number(df, c) for c in columns}
-    values = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), v.alias("v")) for c, v in numbers.items()
-    ]))).filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    ends = {r["column"]: r for r in values.groupBy("column").agg(
-        F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
-
+    ends = {c: m for c, m in (moments or _moments(df, columns)).items() if m["count"]}
     wanted = {}
-    for c, r in ends.items():
+    for c, m in ends.items():
         for p in probabilities:
-            place = (r["n"] - 1) * p
-            wanted[c, p] = (int(place), min(int(place) + 1, r["n"] - 1), place - int(place))
+            place = (m["count"] - 1) * p
+            wanted[c, p] = (int(place), min(int(place) + 1, m["count"] - 1), place - int(place))
     # (column, rank) -> (low end, high end, values below the low end)
-    open_ranks = {(c, k): (ends[c]["lo"], ends[c]["hi"], 0) for (c, _), (a, b, _) in wanted.items() for k in (a, b)}
+    open_ranks = {(c, k): (ends[c]["min"], ends[c]["max"], 0) for (c, _), (a, b, _) in wanted.items() for k in (a, b)}
     found: dict[tuple[str, int], float] = {}
-    spark = df.sparkSession
-    while True:
+    while open_ranks:
         for key, (lo, hi, _) in list(open_ranks.items()):
             if lo == hi:
                 found[key] = lo
                 del open_ranks[key]
-        if not open_ranks:
-            break
-        intervals = {(c, lo, hi) for (c, _), (lo, hi, _) in open_ranks.items()}
-        table = spark.createDataFrame(sorted(intervals), "column string, lo double, hi double")
-        part = F.least(
-            F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)
-        )
-        counted = (
-            values.join(table, "column").filter(F.col("v").between(F.col("lo"), F.col("hi")))
-            .groupBy("column", "lo", "hi", part.alias("part"))
-            .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("first"), F.max("v").alias("last"))
-        )
-        by_interval: dict[tuple, list] = {}
-        for r in counted.orderBy("column", "lo", "hi", "part").collect():
-            by_interval.setdefault((r["column"], r["lo"], r["hi"]), []).append(r)
-        for (c, k), (lo, hi, below) in open_ranks.items():
-            for r in by_interval[c, lo, hi]:
-                if k < below + r["n"]:
-                    open_ranks[c, k] = (r["first"], r["last"], below)
-                    break
-                below += r["n"]
+        if open_ranks:
+            counted = _count_parts(df, {(c, lo, hi) for (c, _), (lo, hi, _) in open_ranks.items()}, bins)
+            for (c, k), (lo, hi, below) in open_ranks.items():
+                for part in counted[c, lo, hi]:
+                    if k < below + part["n"]:
+                        open_ranks[c, k] = (part["first"], part["last"], below)
+                        break
+                    below += part["n"]
     return {
         key: found[key[0], a] + (found[key[0], b] - found[key[0], a]) * share
         for key, (a, b, share) in wanted.items()
     }
+
+
+def _count_parts(df: DataFrame, intervals: set[tuple[str, float, float]], bins: int) -> dict[tuple, list[Row]]:
+    """For each interval its non-empty parts in order, with count, smallest and largest value."""
+    table = df.sparkSession.createDataFrame(sorted(intervals), "column string, lo double, hi double")
+    values = df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), _present(df, c).alias("v")) for c in sorted({c for c, _, _ in intervals})
+    ])))
+    lo, hi = F.col("lo"), F.col("hi")
+    part = F.least(F.floor((F.col("v") - lo) / (hi - lo) * bins), F.lit(bins - 1))
+    rows = (
+        values.join(table, "column").filter(F.col("v").between(lo, hi))
+        .groupBy("column", "lo", "hi", part.alias("part"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("first"), F.max("v").alias("last"))
+        .collect()
+    )
+    found: dict[tuple, list[Row]] = {interval: [] for interval in intervals}
+    for row in sorted(rows, key=lambda r: r["part"]):
+        found[row["column"], row["lo"], row["hi"]].append(row)
+    return found
