@@ -154,14 +154,14 @@ def title_sheet(spark, d):
 
 
 @query("zone_detail_sheet", sql("""
-    SELECT hour, round(sum(mw), 4) AS sum_hourly_mw, round(avg(temp), 4) AS avg_temp, 'click' AS attr_zone, 'Zone, click' AS attr_full_zone_name
+    SELECT hour, round(sum(mw), 4) AS sum_hourly_mw, round(avg(temp), 8) AS avg_temp, 'click' AS attr_zone, 'Zone, click' AS attr_full_zone_name
     FROM load_hourly WHERE zone = 'click' GROUP BY hour""", "load_hourly"))
 def zone_detail_sheet(spark, d):
     hourly, dim = c.forecast_parts(spark, d)
     stored = c.stored_zone_dim(spark, dim)
     members = stored.filter(F.col("zone") == "click")
     rows = sheets.zone_detail_sheet(stored, hourly_table(hourly), members, ["full_zone_name", "lat", "long", "zone"])
-    return c.rounded(rows, 4, "sum_hourly_mw", "avg_temp")
+    return c.rounded(c.rounded(rows, 4, "sum_hourly_mw"), 8, "avg_temp")
 
 
 @query("day_ahead_tables", sql("""

@@ -33,7 +33,8 @@ _HOLIDAY = """(
     SELECT s.zone, CAST(s.datetime AS VARCHAR) AS datetime, CAST(CAST(s.datetime AS DATE) AS VARCHAR) AS date,
         CAST(hour(s.datetime) AS INTEGER) AS hour, CAST(year(s.datetime) AS INTEGER) AS year,
         isodow(s.datetime) >= 6 AS weekend, {_HOLIDAY.format(d='CAST(s.datetime AS DATE)')} AS holiday,
-        false AS is_dst, false AS is_sah, false AS precovid, true AS postcovid,
+        is_dst, s.datetime BETWEEN TIMESTAMP '2020-03-18' AND TIMESTAMP '2020-06-30' AS is_sah,
+        s.datetime < TIMESTAMP '2020-03-18' AS precovid, s.datetime > TIMESTAMP '2020-06-30' AS postcovid,
         coalesce(temp, -999) AS temp, coalesce(precip, -999) AS precip, coalesce(rh, -999) AS rh,
         round(coalesce(pressure, -999), 6) AS pressure, coalesce(windspeed, -999) AS windspeed,
         coalesce(rain, true) AS rain, coalesce(snow, true) AS snow, 1 AS recent,
@@ -42,7 +43,7 @@ _HOLIDAY = """(
         CAST(isodow(s.datetime) AS INTEGER) AS dow_num,
         CASE WHEN month(s.datetime) IN (6, 7, 8, 9) THEN 1 WHEN month(s.datetime) IN (5, 10) THEN 2
              WHEN month(s.datetime) IN (4, 11) THEN 3 ELSE 4 END AS season_num
-    FROM spine s LEFT JOIN weather w ON s.zone = w.zone AND s.datetime = w.datetime""", "spine", "weather"))
+    FROM real_spine s LEFT JOIN weather w ON s.zone = w.zone AND s.datetime = w.datetime""", "real_spine", "weather"))
 def feature_projection(spark, d):
     frame = c.features(spark, d, season=True, missing_flags_as_true=True)
     shown = c.filled(c.as_text(frame, "datetime", "date"), -999.0, *_MEASURES)
@@ -167,12 +168,11 @@ def selection_state(spark, d):
 
 
 @query("toggle_selection", sql(f"""
-    SELECT zone FROM (SELECT event_type AS zone FROM events UNION ALL SELECT DISTINCT zone FROM zone_dim WHERE zone IN {_IN})
-    GROUP BY zone HAVING count(*) % 2 = 1""", "zone_dim"))
+    SELECT zone FROM (SELECT event_type AS zone FROM events UNION ALL SELECT DISTINCT event_type FROM events WHERE event_type IN {_IN})
+    GROUP BY zone HAVING count(*) % 2 = 1"""))
 def toggle_selection(spark, d):
-    dim = c.forecast_parts(spark, d)[1]
     clicks = c.table(spark, d, "events").select(F.col("event_type").alias("zone"))
-    return sel.toggle_selection(c.selection_table(dim), clicks)
+    return sel.toggle_selection(c.selection_table(clicks).distinct(), clicks)
 
 
 @query("sorted_zones", "SELECT DISTINCT event_type AS zone FROM events ORDER BY zone")

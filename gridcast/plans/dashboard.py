@@ -14,7 +14,8 @@ from gridcast.session import materialize
 
 def zone_dashboard(forecast: DataFrame, dim: DataFrame, hour: int, selection: Sequence[str] = (), top: int = 5) -> DataFrame:
     """Per day and zone: load at ``hour``, own peak and its hour, load at the system peak, share of the
-    record, marker size, label, and whether it is among the day's largest.
+    record, marker size, label, and whether it is among the day's largest. ``forecast`` is read several
+    times, so pass a stored or persisted frame.
 
     """
     by = ["date"]

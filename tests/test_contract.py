@@ -9,7 +9,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 import __spark_entry__ as contract  # noqa: E402
-from check import TABLES, rows_of  # noqa: E402
+from check import register, rows_of  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -19,8 +19,7 @@ pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="driver tables
 @pytest.fixture(scope="module")
 def db():
     connection = duckdb.connect()
-    for name in TABLES:
-        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{SF_DIR}/{name}.parquet')")
+    register(connection, SF_DIR)
     return connection
 
 
