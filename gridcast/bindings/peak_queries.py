@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gridcast.bindings import common as c
 from gridcast.bindings.common import query, sql
+from gridcast.functions import display
 from gridcast.functions.calendar import truncate_hour
 from gridcast.operators import peaks, sheets, windows
 from gridcast.operators.selection import zone_subset
@@ -200,7 +201,10 @@ def dashboard(spark, d):
         || chr(10) || 'Load when system peak (' || system_hour || 'H): ' || {_WHOLE.format('mw_sys')}
         || chr(10) || '% of historical peak: ' || CAST(round_even(mw_max / hist_peak_mw * 100, 2) AS VARCHAR) || '%'
         || chr(10) || 'Realtime Load (18H): ' || {_WHOLE.format('exact_mw')}
-        || chr(10) || 'Temperature (18H): ' || CAST(temp AS VARCHAR) AS label
+        || chr(10) || 'Temperature (18H): ' || CAST(temp AS VARCHAR) AS label,
+        zone || ' ' || {_WHOLE.format('mw_max')} AS marker, {_WHOLE.format('mw_sys')} || ' mw' AS load_card, system_hour || 'H' AS hour_card
     FROM board""", *_VIEWS, extra={"board": _DASHBOARD}))
 def zone_label_text(spark, d):
-    return c.as_text(_dashboard(spark, d).select("zone", "date", "label"), "date")
+    return c.as_text(_dashboard(spark, d), "date").select(
+        "zone", "date", "label", display.marker_text(F.col("zone"), F.col("mw_max")).alias("marker"),
+        display.megawatt_text(F.col("mw_sys")).alias("load_card"), display.hour_text(F.col("system_hour")).alias("hour_card"))

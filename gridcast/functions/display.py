@@ -40,7 +40,7 @@ def zone_label(
     name: Column, zone: Column, peak_hour: Column, peak: Column, system_hour: Column,
     at_system_peak: Column, pct: Column, hour: Column, load: Column, temp: Column,
 ) -> Column:
-    """The lines shown for one zone, separated by line breaks."""
+    """The lines shown for one zone, separated by line breaks. The captions are fixed values."""
 
     def line(caption: str, at: Column, value: Column) -> Column:
         return F.concat(F.lit(f"{caption} ("), hour_text(at), F.lit("): "), value)
@@ -56,5 +56,10 @@ def zone_label(
     )
 
 
+def marker_text(zone: Column, peak: Column) -> Column:
+    """The short label drawn next to the largest zones."""
+    return F.concat_ws(" ", zone, whole_number(peak))
+
+
 def location(lat: str = "lat", long: str = "long") -> Column:
     return F.struct(F.col(lat), F.col(long))

@@ -71,12 +71,13 @@ def day_ahead_tables(forecast: DataFrame, dim: DataFrame, by: Sequence[str] = ()
 
 def run(
     zones: DataFrame, dim: DataFrame, documents: DataFrame, start: Column,
-    score: Callable[[DataFrame], DataFrame], out: str, tz: str = EASTERN,
+    score: Callable[[DataFrame], DataFrame], out: str, tz: str = EASTERN, by: Sequence[str] = (),
 ) -> None:
-    """Documents to written tables. The scored frame feeds three writes and is kept between them."""
+    """Documents to written tables. The scored frame feeds three writes and is kept between them. For
+    more than one day give ``zones`` a row per day, ``start`` as an expression on it, and ``by``."""
     weather = weather_rows(explode_documents(documents), tz)
     forecast = score(feature_frame(zones, start, weather, tz)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        write_tables(day_ahead_tables(forecast, dim).as_dict(), out)
+        write_tables(day_ahead_tables(forecast, dim, by).as_dict(), out)
     finally:
         forecast.unpersist()

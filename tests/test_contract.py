@@ -25,7 +25,11 @@ def db():
 
 @pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
 def test_query_equals_its_sql(spark, db, name):
-    got = contract.queries()[name](spark, SF_DIR).toPandas()
+    df = contract.queries()[name](spark, SF_DIR)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
+        assert node not in plan
+    got = df.toPandas()
     assert rows_of(got) == rows_of(db.execute(contract.oracle_sql()[name]).df())
 
 

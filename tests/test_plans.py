@@ -50,3 +50,20 @@ def test_feature_layouts(frame):
     assert len(batch.columns) == 24 and page.columns[-1] == "season_num"
     assert batch.count() == 23
     assert {r["rain"] for r in batch.collect()} == {None} and {r["rain"] for r in page.collect()} == {True}
+
+
+def test_several_days_in_one_run(spark, frame, tmp_path):
+    days = frame([("AE", "2022-11-16"), ("AE", "2022-11-17"), ("AP", "2022-11-16")], "zone string, day string")
+    docs = frame([("XX", "{}")], "zone string, document string")
+    dim = frame([("AE", 100.0)], "zone string, hist_peak_mw double")
+
+    def score(features):
+        late_on_the_second_day = F.when((F.dayofmonth("date") == 17) & (F.col("hour") == 20), 5.0).otherwise(0.0)
+        early_on_the_first = F.when((F.dayofmonth("date") == 16) & (F.col("hour") == 6), 7.0).otherwise(0.0)
+        return features.withColumn("mw", late_on_the_second_day + early_on_the_first)
+
+    day_ahead.run(days.withColumnRenamed("day", "start"), dim, docs, F.col("start").cast("timestamp_ntz"), score, str(tmp_path), by=["date"])
+    peak = delimited.read_delimited(spark, f"{tmp_path}/peak_hour_forecast", schemas.PEAK_HOUR).collect()
+    assert sorted((r["zone"], str(r["date"]), r["peak_hour"], r["peak_hour_mw"]) for r in peak) == [
+        ("AE", "2022-11-16", 6, 7.0), ("AE", "2022-11-17", 20, 5.0), ("AP", "2022-11-16", 6, 7.0)]
+    assert spark.read.option("header", True).csv(f"{tmp_path}/hourly_forecast").count() == 72
