@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridcast.llm import decontaminate, language, mixing, neighbours, secret_scan, toxicity
-from gridcast.llm.store import words
+from gridcast.llm import decontaminate, language, mixing, neighbours, secret_scan, token_counts, toxicity
+from gridcast.llm.store import fresh_path, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -169,3 +170,21 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest rows found for every twentieth row."""
     return neighbours.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
+# The vocabulary is public and read from where it lies; 50256 is the id its makers use for the end of a document.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+END_OF_DOCUMENT = 50256
+
+
+@query("op9_token_counts")
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each document, counted in flat token files of the whole table."""
+    import public_tokenizers
+
+    path = fresh_path(spark, "tokens")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    token_counts.write_token_files(docs, path, Path(VOCABULARY).read_bytes(), public_tokenizers.PATTERN, END_OF_DOCUMENT)
+    blocks, order = token_counts.read_token_files(spark, path)
+    counted = token_counts.scan(blocks, END_OF_DOCUMENT)
+    return counted.join(order, ["file", "ordinal"]).select("doc_id", "n_tokens")

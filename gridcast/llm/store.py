@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -17,24 +18,33 @@ def words(text: Column) -> Column:
     return F.coalesce(found, F.array().cast("array<string>"))
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared checkpoint folder, so that a lost executor costs no recomputation.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, which every executor reaches.
 
-    The folder is the one named by ``spark.checkpoint.dir``. Only a local session without that setting, as
-    in tests, gets a folder of its own.
+    Only a local session without that setting, as in tests, gets a folder of its own.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            if not context.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-            base = tempfile.mkdtemp(prefix="llm-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not base:
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
+        base = tempfile.mkdtemp(prefix="llm-")
+        context.setCheckpointDir(base)
+    elif context.getCheckpointDir() is None:
         context.setCheckpointDir(base)
+    return base
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared folder, so that a lost executor costs no recomputation."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """A join on equal names under which null meets null; the keys appear once."""
     other = right.select(*(F.col(c).alias(f"__right_{c}" if c in keys else c) for c in right.columns))
