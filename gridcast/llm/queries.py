@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridcast.llm import decontaminate, language, mixing, neighbours, secret_scan, token_counts, toxicity
+from gridcast.llm import decontaminate, language, mixing, neighbours, secret_scan, substring_dedup, token_counts, toxicity
 from gridcast.llm.store import fresh_path, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -188,3 +188,31 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks, order = token_counts.read_token_files(spark, path)
     counted = token_counts.scan(blocks, END_OF_DOCUMENT)
     return counted.join(order, ["file", "ordinal"]).select("doc_id", "n_tokens")
+
+
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, hash(array_to_string(w[i:i + 49], ' ')) AS h, md5(array_to_string(w[i:i + 49], ' ')) AS m FROM d, range(1, len(w) - 48) r(i)
+), firsts AS (
+  SELECT h, m, min(doc_id) AS lowest FROM windows GROUP BY h, m
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM windows JOIN firsts USING (h, m) WHERE lowest < doc_id
+), placed AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM placed ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+), lost AS (
+  SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op4_substring_dedup", OP4_SQL)
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the passages of 50 words and more that earlier documents have."""
+    done = substring_dedup.remove_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
