@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridcast.llm import decontaminate, language, mixing, neighbours, secret_scan, substring_dedup, token_counts, toxicity
+from gridcast.llm import dart_minhash, decontaminate, language, mixing, neighbours, secret_scan, substring_dedup, token_counts, toxicity
 from gridcast.llm.store import fresh_path, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -216,3 +216,9 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the passages of 50 words and more that earlier documents have."""
     done = substring_dedup.remove_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op3_minhash")
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of each document."""
+    return dart_minhash.classes(table(spark, sf_dir, "documents"))
