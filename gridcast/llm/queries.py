@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridcast.llm import dart_minhash, decontaminate, language, mixing, neighbours, secret_scan, substring_dedup, token_counts, toxicity
+from gridcast.llm import dart_minhash, decontaminate, language, line_dedup, mixing, neighbours, secret_scan, substring_dedup, token_counts, toxicity
 from gridcast.llm.store import fresh_path, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -222,3 +222,9 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of each document."""
     return dart_minhash.classes(table(spark, sf_dir, "documents"))
+
+
+@query("op2_line_dedup")
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lines of each document repeat an earlier line or are alike to one."""
+    return line_dedup.dedup_report(table(spark, sf_dir, "documents"))
