@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridcast.llm.store import stored
+from gridcast.llm.store import few, narrowed, stored
 from gridcast.llm.substring_dedup import Texts, encoded, pieces, scrambled, signed
 
 SHINGLE = 5
@@ -171,8 +171,8 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     tried = stored(met.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
 
     def elements_of(pairs: DataFrame) -> DataFrame:
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        return stored(known.join(needed, "doc_id").dropDuplicates(["doc_id"]).mapInPandas(_elements, "node long, elements array<long>"))
+        needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+        return stored(narrowed(known, needed, "doc_id").join(needed, "doc_id").dropDuplicates(["doc_id"]).mapInPandas(_elements, "node long, elements array<long>"))
 
     elements = elements_of(met.select(F.col("hub").alias("a"), F.col("node").alias("b")))
     links = stored(alike(tried, elements, least))
@@ -197,8 +197,9 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """``docs`` with one document of each class, that of the smallest id; rows without an id stay, repeated rows are one."""
     found = classes(docs, least)
+    found = stored(found)
     gone = found.filter("class_id < doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
+    kept = docs.join(F.broadcast(gone) if few(gone) else gone, "doc_id", "left_anti")
     twice = found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
     if twice.isEmpty():
         return kept

@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridcast.llm.store import few, stored
+
 SIZE = 13
 MIN_SHARE = 20
 MAX_SLOTS = 1 << 22
@@ -137,7 +139,8 @@ def remove_documents(docs: DataFrame, items: DataFrame, size: int = SIZE, min_sh
     found = hits(keyed.select("key", "text"), items, size, "key")
     n_hit = covered(F.col("spans"))
     bad = found.filter((n_hit > 0) & (min_share * n_hit >= F.col("n_words"))).select("key").distinct()
-    return keyed.join(bad, "key", "left_anti").select("row.*")
+    bad = stored(bad)
+    return keyed.join(F.broadcast(bad) if few(bad) else bad, "key", "left_anti").select("row.*")
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:

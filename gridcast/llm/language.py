@@ -13,7 +13,6 @@ score 0. Without any labelled text everything is ``und``.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -31,10 +30,14 @@ UNKNOWN = "und"
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-@cache
+LETTERS: list[np.ndarray] = []
+
+
 def letter_table() -> np.ndarray:
     """For every code point: is it a letter?"""
-    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
+    if not LETTERS:
+        LETTERS.append(np.char.isalpha(np.arange(0x110000, dtype="<u4").view("<U1")))
+    return LETTERS[0]
 
 
 def counts(text: str | None) -> np.ndarray:
@@ -145,8 +148,8 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> Model:
     return Model(idf, stacked, [r["lang"] for r in found])
 
 
-def identify(docs: DataFrame, model: Model, reject: float = REJECT, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, score and rejected; an own column of one of these names is replaced."""
+def _found(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
+    """The whole row, and lang_pred and score as ``found``."""
     sent = docs.sparkSession.sparkContext.broadcast((model.idf, model.centroids, model.names))
 
     @F.pandas_udf("lang_pred string, score double")
@@ -154,7 +157,20 @@ def identify(docs: DataFrame, model: Model, reject: float = REJECT, text_col: st
         names, scores = Model(*sent.value).predict(texts)
         return pd.DataFrame({"lang_pred": names, "score": scores})
 
-    scored = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), predict(F.col(text_col)).alias("found"))
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), predict(F.col(text_col)).alias("found"))
+
+
+def _rejected(reject: float) -> Column:
+    return (F.col("found.lang_pred") == UNKNOWN) | (F.col("found.score") < reject)
+
+
+def identify(docs: DataFrame, model: Model, reject: float = REJECT, text_col: str = "text") -> DataFrame:
+    """``docs`` with lang_pred, score and rejected; an own column of one of these names is replaced."""
     kept = [F.col(f"row.`{c}`") for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
-    rejected: Column = (F.col("found.lang_pred") == UNKNOWN) | (F.col("found.score") < reject)
-    return scored.select(*kept, F.col("found.lang_pred").alias("lang_pred"), F.col("found.score").alias("score"), rejected.alias("rejected"))
+    return _found(docs, model, text_col).select(
+        *kept, F.col("found.lang_pred").alias("lang_pred"), F.col("found.score").alias("score"), _rejected(reject).alias("rejected"))
+
+
+def keep_known(docs: DataFrame, model: Model, reject: float = REJECT, text_col: str = "text") -> DataFrame:
+    """``docs``, all columns as they are, without the rows that are rejected."""
+    return _found(docs, model, text_col).filter(~_rejected(reject)).select("row.*")

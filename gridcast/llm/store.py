@@ -9,6 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+BROADCAST_IDS = 1_000_000
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
@@ -45,6 +46,19 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def few(ids: DataFrame, limit: int = BROADCAST_IDS) -> bool:
+    """Whether the frame, a column of numbers that is stored, is small enough to be sent to every task."""
+    return ids.limit(limit + 1).count() <= limit
+
+
+def narrowed(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """The rows of ``docs`` whose ``name`` is among ``ids``, or all if the ids are too many to be sent to every task.
+
+    Used ahead of a join with the same ids: rows that cannot match then stay out of its shuffle.
+    """
+    return docs.join(F.broadcast(ids), name, "left_semi") if few(ids) else docs
+
+
 def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """A join on equal names under which null meets null; the keys appear once."""
     other = right.select(*(F.col(c).alias(f"__right_{c}" if c in keys else c) for c in right.columns))
