@@ -1,0 +1,49 @@
+import random
+
+import numpy as np
+
+from gridcast.llm import language
+
+SOUNDS = {"xx": ["ka", "to", "ri", "mu", "sa"], "yy": ["schl", "ung", "eit", "über", "bra"], "zz": ["ция", "ово", "при", "ста", "нее"]}
+
+
+def text(rng, lang, n):
+    return " ".join("".join(rng.choice(SOUNDS[lang]) for _ in range(rng.randint(1, 4))) for _ in range(n))
+
+
+def labelled(spark, rng, n):
+    rows = [(text(rng, lang, rng.randint(3, 60)), lang) for lang in SOUNDS for _ in range(n)]
+    return spark.createDataFrame(rows, "text string, lang string")
+
+
+def test_held_out_accuracy_and_rejection(spark, documents):
+    rng = random.Random(1)
+    model = language.fit(labelled(spark, rng, 60), sample=40)
+    assert len(model.names) == 12
+    rows = [(i, text(rng, lang, 20), lang) for i, lang in enumerate(list(SOUNDS) * 30)]
+    odd = [(900, None, "s"), (901, "", "s"), (902, "12 34 !!", "s"), (903, "αβγδ ΩΨΦ θηλμ", "s")]
+    found = {r.doc_id: r for r in language.identify(documents(rows + odd), model).collect()}
+    assert np.mean([found[i].lang_pred == lang for i, _, lang in rows]) > 0.98
+    assert all(found[i].lang_pred == "und" and found[i].score == 0 and found[i].rejected for i in (900, 901, 902))
+    assert found[903].lang_pred != "und" and found[903].rejected and not any(found[i].rejected for i, *_ in rows)
+    assert all(0 <= r.score <= 1 for r in found.values())
+
+
+def test_pieces_of_a_long_text_count_as_the_whole(monkeypatch):
+    rng = random.Random(2)
+    long = text(rng, "xx", 500) + " ?! 12  " + text(rng, "yy", 300)
+    whole = language.counts(long)
+    monkeypatch.setattr(language, "CHUNK", 97)
+    assert (language.counts(long) == whole).all()
+
+
+def test_unlabelled_empty_and_clashing(spark, documents, clashing):
+    none = language.fit(spark.createDataFrame([(None, "xx"), ("ka to", None)], "text string, lang string"))
+    docs = clashing(documents(["ka to ri", None]))
+    got = language.identify(docs, none).collect()
+    assert [r.lang_pred for r in got] == ["und", "und"]
+    model = language.fit(labelled(spark, random.Random(3), 10))
+    kept = language.keep_known(docs, model)
+    assert kept.columns == docs.columns and [r.text for r in kept.collect()] == ["ka to ri"]
+    assert language.identify(documents([]), model).count() == 0
+    assert language.fit(spark.createDataFrame([], "text string, lang string")).names == []

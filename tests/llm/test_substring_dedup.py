@@ -1,0 +1,82 @@
+import random
+import re
+
+import numpy as np
+
+from gridcast.llm import substring_dedup as sd
+
+
+def brute(rows, size):
+    """(doc_id, n_words, kept) by the definition."""
+    cut = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in rows]
+    first = {}
+    for i, w in cut:
+        for k in range(len(w) - size + 1):
+            if i is not None:
+                g = tuple(w[k:k + size])
+                first[g] = min(first.get(g, i), i)
+    out = []
+    for i, w in cut:
+        gone = set()
+        for k in range(len(w) - size + 1):
+            if i is not None and first[tuple(w[k:k + size])] < i:
+                gone.update(range(k, k + size))
+        out.append((i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
+    return out
+
+
+def got(docs, size):
+    return [(r.doc_id, r.n_words, r.n_removed, r.kept) for r in sd.remove_duplicates(docs, size).collect()]
+
+
+def passages(rng, n_docs, size):
+    pool = [[f"w{rng.randrange(500)}" for _ in range(rng.randint(size // 2, 4 * size))] for _ in range(12)]
+    rows = []
+    for i in range(n_docs):
+        w = []
+        for _ in range(rng.randint(0, 5)):
+            if rng.random() < 0.6:
+                p = rng.choice(pool)
+                a = rng.randrange(len(p))
+                w += p[a:a + rng.randint(1, len(p))]
+            else:
+                w += [f"u{i}x{rng.randrange(10**6)}" for _ in range(rng.randint(1, size))]
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_same_as_definition(documents):
+    rng = random.Random(2)
+    for size in (50, 20):
+        rows = passages(rng, 120, size)
+        rng.shuffle(rows)
+        assert sorted(got(documents([(i, t, "s") for i, t in rows]), size)) == sorted(brute(rows, size))
+
+
+def test_edges(documents):
+    long = " ".join(f"w{i % 977}" for i in range(40_000))
+    run = " ".join(["same"] * 120)
+    rows = [(None, long), (4, long), (2, long), (7, None), (8, ""), (9, " \t\n"), (10, run), (11, run + " end"), (12, "w1 w2"), (13, "é " * 60), (14, "  é " + "é " * 60)]
+    want = sorted(brute(rows, 50), key=str)
+    assert sorted(got(documents([(i, t, "s") for i, t in rows]), 50), key=str) == want
+
+
+def test_repeated_rows_and_empty(documents, clashing):
+    text = " ".join(f"w{i}" for i in range(80))
+    docs = clashing(documents([(1, text, "s"), (1, text, "s"), (2, text, "s")]))
+    assert sorted(got(docs, 50)) == [(1, 80, 0, text), (1, 80, 0, text), (2, 80, 80, "")]
+    assert got(documents([]), 50) == []
+
+
+def test_factors_are_longest(documents):
+    shared = [f"w{i}" for i in range(90)]
+    docs = documents([(1, " ".join(shared), "s"), (2, " ".join(["a", "b", *shared, "c"]), "s")])
+    rows = {r.doc_id: r.factors for r in sd.remove_duplicates(docs).collect()}
+    assert rows == {1: [], 2: [[2, 92]]}
+
+
+def test_hashes_depend_on_words_only():
+    one, two = sd.Texts([b"x y z", b"p q r s"]), sd.Texts([b"zero  p\tq r"])
+    a = one.runs[0](np.array([3]), np.array([6]))
+    b = two.runs[0](np.array([1]), np.array([4]))
+    assert a == b
