@@ -31,7 +31,9 @@ def peak_vs_history(spark, d):
     SELECT f.zone, CAST(ds AS VARCHAR) AS ds, mw, temp, lat, long, full_zone_name, hist_peak_mw
     FROM load_hourly f JOIN zone_dim d ON f.zone = d.zone""", "zone_dim"))
 def zone_enrich_inner(spark, d):
-    rows = joins.zone_enrich(*c.forecast_parts(spark, d))
+    hourly, dim = c.forecast_parts(spark, d)
+    # The dimension as a file: its size is known before the join is planned, so the fact side stays where it is.
+    rows = joins.zone_enrich(hourly, c.stored_zone_dim(spark, dim))
     return c.as_text(rows, "ds").drop("date", "hour")
 
 

@@ -94,6 +94,23 @@ def per_zone_lag_fit(spark, d):
     return _explode_models(linear.fit(lag_features(c.stored_hourly(spark, d)), _LAG_FEATURES))
 
 
+_LAG_SPLIT = {**_LAGGED, **_linear_views("lagged", _LAG_FEATURES, "ds < TIMESTAMP '2024-01-24'"), "scored": f"""
+    SELECT t.*, {_prediction(_LAG_FEATURES)} AS prediction FROM lagged t LEFT JOIN models m ON t.zone = m.zone WHERE t.ds >= TIMESTAMP '2024-01-24'"""}
+
+
+@query("per_zone_lag_mape", sql("""
+    SELECT zone, round(avg(abs((mw - prediction) / nullif(mw, 0))), 6) AS mape, round(avg(abs((mw - prediction) / nullif(mw, 0))) * 100, 4) AS mape_pct,
+           count(*) FILTER (mw = 0) AS skipped, count(*) FILTER (mw IS NOT NULL AND prediction IS NULL) AS unscored,
+           round(avg(abs(mw - prediction)), 4) AS mae FROM scored GROUP BY zone""", "load_hourly", extra=_LAG_SPLIT))
+def per_zone_lag_mape(spark, d):
+    """Lag, split by date, fit, predict and both error measures per zone."""
+    rows = lag_features(c.stored_hourly(spark, d))
+    later = F.col("ds") >= F.lit("2024-01-24").cast("timestamp_ntz")
+    scored = linear.predict(rows.filter(later), linear.fit(rows.filter(~later), _LAG_FEATURES), _LAG_FEATURES)
+    errors = scored.groupBy("zone").agg(F.round(F.avg(F.abs(F.col("mw") - F.col("prediction"))), 4).alias("mae"))
+    return c.rounded(c.rounded(evaluate.mape_by_zone(scored), 6, "mape"), 4, "mape_pct").join(errors, "zone")
+
+
 @query("per_zone_predict", sql("SELECT l_orderkey, l_linenumber, zone, mw, round(prediction, 4) AS prediction FROM scored", "train", extra=_SCORED))
 def per_zone_predict(spark, d):
     return c.rounded(_scored(spark, d).select("l_orderkey", "l_linenumber", "zone", "mw", "prediction"), 4, "prediction")
@@ -123,7 +140,7 @@ def mae(spark, d):
 
 @query("mape_by_zone", sql("""
     SELECT zone, round(avg(abs((mw - prediction) / nullif(mw, 0))), 6) AS mape, round(avg(abs((mw - prediction) / nullif(mw, 0))) * 100, 4) AS mape_pct,
-           count(*) FILTER (mw = 0) AS skipped FROM scored GROUP BY zone""", "train", extra=_SCORED))
+           count(*) FILTER (mw = 0) AS skipped, count(*) FILTER (mw IS NOT NULL AND prediction IS NULL) AS unscored FROM scored GROUP BY zone""", "train", extra=_SCORED))
 def mape_by_zone(spark, d):
     return c.rounded(c.rounded(evaluate.mape_by_zone(_scored(spark, d)), 6, "mape"), 4, "mape_pct")
 
@@ -150,7 +167,10 @@ def vif(spark, d):
     return c.rounded(linear.vif(c.train(spark, d), TRAIN_FEATURES), 6, "vif")
 
 
-@query("random_split")
+_SPLIT = {"split": "SELECT *, CASE WHEN substr(md5(concat_ws('|', l_orderkey, l_linenumber, 42)), 1, 8) < '33333333' THEN 1 ELSE 0 END AS part FROM train"}
+
+
+@query("random_split", sql("SELECT zone, count(*) FILTER (part = 0) AS n_train, count(*) FILTER (part = 1) AS n_test FROM split GROUP BY zone", "train", extra=_SPLIT))
 def random_split(spark, d):
     rows = evaluate.random_split(c.train(spark, d).drop("test"), ["l_orderkey", "l_linenumber"])
     return rows.groupBy("zone").agg(F.count_if(F.col("test") == 0).alias("n_train"), F.count_if(F.col("test") == 1).alias("n_test"))
@@ -165,11 +185,23 @@ def standard_scale(spark, d):
     return c.rounded(scaled.select("l_orderkey", "l_linenumber", "test", *TRAIN_FEATURES), 6, *TRAIN_FEATURES)
 
 
-@query("random_forest")
+def _beside_the_mean(scored, mean, *by):
+    """Test rows, the error of the plain mean, and whether the model's own error is of its size: below one and a half times it."""
+    errors = scored.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_test"), F.avg(F.abs(F.col("mw") - mean)).alias("mean_error"),
+        F.avg(F.abs(F.col("mw") - F.col("prediction"))).alias("own_error"))
+    return c.rounded(errors.withColumn("near_mean", F.col("own_error") < 1.5 * F.col("mean_error")).drop("own_error"), 2, "mean_error")
+
+
+@query("random_forest", sql("""
+    SELECT count(*) AS n_test, round(avg(abs(mw - (SELECT avg(mw) FROM split WHERE part = 0 AND zone = 'RF'))), 2) AS mean_error, true AS near_mean
+    FROM split WHERE part = 1 AND zone = 'RF'""", "train", extra=_SPLIT))
 def random_forest(spark, d):
     rows = c.train(spark, d).filter("zone = 'RF'").drop("test")
-    scored = trees.fit_forest(rows, TRAIN_FEATURES, "mw", ["l_orderkey", "l_linenumber"])
-    return evaluate.mean_absolute_error(scored, "mw", "prediction")
+    keys = ["l_orderkey", "l_linenumber"]
+    scored = trees.fit_forest(rows, TRAIN_FEATURES, "mw", keys)
+    mean = evaluate.random_split(rows, keys).filter("test = 0").agg(F.avg("mw")).scalar()
+    return _beside_the_mean(scored, mean)
 
 
 # Two stumps per zone whose thresholds and leaves are means of the data, so that SQL can say the same.
@@ -179,13 +211,15 @@ _STUMPS = """
     FROM (SELECT *, avg(temp) OVER (PARTITION BY zone) AS m FROM load_hourly) GROUP BY zone"""
 
 
-@query("per_zone_tree_score", sql("""
+_STUMPS_SQL = sql("""
     SELECT s.zone, CAST(s.datetime AS VARCHAR) AS datetime,
            round(CASE WHEN l.temp IS NULL OR l.temp <= p.t THEN p.low ELSE p.high END
                  + 0.1 * CASE WHEN hour(s.datetime) <= 11.5 THEN p.early ELSE p.late END, 4) AS prediction
     FROM spine s LEFT JOIN load_hourly l ON s.zone = l.zone AND s.datetime = l.ds LEFT JOIN stumps p ON s.zone = p.zone""",
-    "spine", "load_hourly", extra={"stumps": _STUMPS}))
-def per_zone_tree_score(spark, d):
+    "spine", "load_hourly", extra={"stumps": _STUMPS})
+
+
+def _stumps_and_rows(spark, d):
     hourly = c.stored_hourly(spark, d)
     means = hourly.groupBy("zone").agg(F.avg("temp").alias("t"))
     low, early = F.col("temp") <= F.col("t"), F.col("hour") <= 11.5
@@ -207,11 +241,26 @@ def per_zone_tree_score(spark, d):
     spine = c.hours_of(hourly.select("zone", "date").distinct())
     rows = spine.withColumn("hour", F.hour("datetime")).join(
         hourly.select("zone", F.col("ds").alias("datetime"), "temp"), ["zone", "datetime"], "left")
+    return rows, nodes
+
+
+@query("per_zone_tree_score", _STUMPS_SQL)
+def per_zone_tree_score(spark, d):
+    rows, nodes = _stumps_and_rows(spark, d)
     scored = trees.score_trees(rows, nodes, ["temp", "hour"])
     return c.rounded(c.as_text(scored.select("zone", "datetime", "prediction"), "datetime"), 4, "prediction")
 
 
-@query("gbt_fit")
+@query("per_zone_tree_score_grouped", _STUMPS_SQL)
+def per_zone_tree_score_grouped(spark, d):
+    rows, nodes = _stumps_and_rows(spark, d)
+    scored = trees.score_trees_grouped(rows, nodes, ["temp", "hour"], rows_per_group=2000)
+    return c.rounded(c.as_text(scored.select("zone", "datetime", "prediction"), "datetime"), 4, "prediction")
+
+
+@query("gbt_fit", """
+    SELECT event_type AS zone, count(*) AS n_test, round(avg(abs(value - m)), 2) AS mean_error, true AS near_mean
+    FROM (SELECT *, avg(value) OVER (PARTITION BY event_type) AS m FROM events) GROUP BY event_type""")
 def gbt_fit(spark, d):
     """Fit a boosted model per zone on single readings, store it, load its trees and score with them."""
     rows = c.readings(spark, d).select(
@@ -219,9 +268,10 @@ def gbt_fit(spark, d):
     features = ["hour", "k", "dow_num"]
     zones = [r["zone"] for r in rows.select("zone").distinct().orderBy("zone").collect()]
     root = scratch_path(spark, "boosted")
-    model_store.save_tree_models(trees.fit_boosted(rows, zones, features, "mw", rounds=5, depth=3), root)
-    scored = trees.score_trees(rows, model_store.load_trees(spark, root, zones, features), features)
-    return c.rounded(evaluate.mape_by_zone(scored), 4, "mape", "mape_pct")
+    model_store.save_tree_models(trees.fit_boosted(rows, zones, features, "mw"), root)
+    scored = trees.score_trees(rows, model_store.load_trees(spark, root, features), features)
+    means = rows.groupBy("zone").agg(F.avg("mw").alias("mean"))
+    return _beside_the_mean(scored.join(means, "zone"), F.col("mean"), "zone")
 
 
 _PAIRS = "PARTITION BY zone ORDER BY ds"

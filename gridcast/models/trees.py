@@ -2,8 +2,8 @@
 
 Training uses the distributed learners of ``pyspark.ml``. Scoring takes trees as rows (one per node:
 zone, tree, node, feature, threshold, left, right, missing_left, value, weight); a leaf has no feature.
-Scored rows are not shuffled: node tables up to ``max_nodes`` are sent to the tasks, larger ones meet
-the rows in bounded groups.
+``score_trees`` sends the node table to the tasks and leaves the scored rows where they are; ``score_trees_grouped``,
+for node tables too large for that, brings rows and trees together in bounded groups. The caller chooses.
 """
 
 from __future__ import annotations
@@ -22,26 +22,29 @@ from gridcast.models.evaluate import random_split, standard_scale
 from gridcast.session import materialize, scratch_path
 
 
+WRITERS = 8
+
+
 def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Complete rows with a feature vector."""
     numbers = df.withColumns({c: F.col(c).cast("double") for c in features})
     return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip").transform(numbers)
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Training passes over its rows many times; use every core even when the input is one small file."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
-def fit_forest(df: DataFrame, features: Sequence[str], target: str, keys: Sequence[str], trees: int = 100, seed: int = 42) -> DataFrame:
-    """Split, scale and fit a random forest; returns the scored test rows."""
+def fit_forest(
+    df: DataFrame, features: Sequence[str], target: str, keys: Sequence[str], trees: int = 100, seed: int = 42,
+    depth: int = 30, partitions: int | None = None,
+) -> DataFrame:
+    """Split, scale and fit a random forest; returns the scored test rows. Every split looks at all features; ``depth`` is
+    the most the learner allows. ``partitions`` spreads a small input, which is read many times, over more tasks."""
     split = random_split(df, keys, seed=seed)
     train = split.filter("test = 0")
-    scaled = _spread(assemble(standard_scale(train, split, features), features))
-    model = RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=trees, seed=seed).fit(
-        scaled.filter("test = 0")
-    )
+    scaled = assemble(standard_scale(train, split, features), features)
+    scaled = scaled.repartition(partitions) if partitions else scaled
+    model = RandomForestRegressor(
+        featuresCol="features", labelCol=target, numTrees=trees, seed=seed, maxDepth=depth, minInstancesPerNode=1, featureSubsetStrategy="all",
+        maxMemoryInMB=1024, cacheNodeIds=True,  # deep trees: more nodes a pass, and rows need not walk down again
+    ).fit(scaled.filter("test = 0"))
     return model.transform(scaled.filter("test = 1")).drop("features")
 
 
@@ -64,7 +67,9 @@ def fit_boosted(
 
 
 def materialize_by_zone(df: DataFrame) -> DataFrame:
+    """Rows in one folder per zone, in a few files each: a large zone is written by several tasks."""
     path = scratch_path(df.sparkSession, "by-zone")
+    df = df.repartition("zone", F.pmod(F.xxhash64(*df.columns), F.lit(WRITERS)))
     df.write.mode("overwrite").partitionBy("zone").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -102,19 +107,28 @@ def _score_arrays(trees: list[tuple], x: np.ndarray, inclusive: bool) -> np.ndar
 
 def score_trees(
     df: DataFrame, nodes: DataFrame, features: Sequence[str], out: str = "prediction",
-    inclusive: bool = True, max_nodes: int = 500_000, rows_per_group: int = 500_000,
+    inclusive: bool = True,
 ) -> DataFrame:
-    """Sum of weighted leaves of the zone's trees. A missing feature follows the node's default branch;
-    ``inclusive`` says whether a value equal to the threshold goes left. Zones without trees get null."""
-    features = list(features)
-    numbers = df.withColumns({f"__{c}": F.col(c).cast("double") for c in features})
-    if nodes.count() <= max_nodes:
-        scored = _score_with_copies(numbers, nodes, features, out, inclusive)
-    else:
-        scored = _score_in_groups(numbers, nodes, features, out, inclusive, rows_per_group)
+    """Sum of weighted leaves of the zone's trees, for a node table that fits into every task. A missing feature follows
+    the node's default branch; ``inclusive`` says whether a value equal to the threshold goes left. Zones without trees
+    get null."""
+    scored = _score_with_copies(_with_numbers(df, features), nodes, list(features), out, inclusive)
     return scored.drop(*[f"__{c}" for c in features])
 
 
+def score_trees_grouped(
+    df: DataFrame, nodes: DataFrame, features: Sequence[str], out: str = "prediction",
+    inclusive: bool = True, rows_per_group: int = 500_000,
+) -> DataFrame:
+    """The same for any number of nodes: rows and trees meet in groups of about ``rows_per_group`` rows."""
+    scored = _score_in_groups(_with_numbers(df, features), nodes, list(features), out, inclusive, rows_per_group)
+    return scored.drop(*[f"__{c}" for c in features])
+
+
+def _with_numbers(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    return df.withColumns({f"__{c}": F.col(c).cast("double") for c in features})
+
+
 def _score_with_copies(df: DataFrame, nodes: DataFrame, features: list[str], out: str, inclusive: bool) -> DataFrame:
     small = nodes.toPandas()
     forests = df.sparkSession.sparkContext.broadcast(
@@ -146,15 +160,17 @@ def _score_in_groups(df: DataFrame, nodes: DataFrame, features: list[str], out:
     rows = placed.join(sizes, "zone", "left").withColumn("__part", F.pmod("__hash", parts)).drop("__hash", "__parts")
     part = F.explode(F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1))
     copies = nodes.join(sizes, "zone").withColumn("__part", part).drop("__parts")
+    # New names for the same columns, in case the trees were derived from the scored rows themselves.
+    copies = copies.toDF(*[f"{c}_" for c in copies.columns])
     schema = df.withColumn(out, F.lit(None).cast("double")).schema
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         x = left[[f"__{c}" for c in features]].to_numpy(float)
         if len(left) and len(right):
-            left[out] = _score_arrays(_tree_arrays(right, features), x, inclusive)
+            left[out] = _score_arrays(_tree_arrays(right.rename(columns=lambda c: c.removesuffix("_")), features), x, inclusive)
         else:
             left[out] = np.nan
         return left[schema.names]
 
-    scored = rows.groupBy("zone", "__part").cogroup(copies.groupBy("zone", "__part")).applyInPandas(score, schema)
+    scored = rows.groupBy("zone", "__part").cogroup(copies.groupBy("zone_", "__part_")).applyInPandas(score, schema)
     return scored.withColumn(out, F.nanvl(out, F.lit(None).cast("double")))

@@ -62,19 +62,15 @@ def zone_hours(zones: DataFrame, start: Column, hours: int = 24) -> DataFrame:
 def nearest_zone(points: DataFrame, sites: DataFrame, point_id: str, max_sites: int = 4096) -> DataFrame:
     """Zone with the least |d lat| + |d long| for each point; the lower ``site_order`` wins a tie.
 
-    Sites travel as one array value, points never move. The array holds at most ``max_sites`` entries:
-    a larger dimension is cut into parts that fit, each part is compared in turn with the best site
-    found so far, and the result is the same.
+    Sites travel as array values, points never move. Sites are cut into parts of at most ``max_sites``, one part if they
+    are few; each part is compared in turn with the best site found so far. Sites without a coordinate take no part;
+    a point without one has no zone.
     """
+    sites = sites.filter(F.col("lat").isNotNull() & F.col("long").isNotNull() & ~F.isnan("lat") & ~F.isnan("long"))
     first_here = F.min(F.struct(F.col("site_order").cast("long").alias("site_order"), "zone"))
     compact = sites.groupBy("lat", "long").agg(first_here.alias("site")).select("lat", "long", "site.*")
     compact = materialize(compact, "sites")
-    n_sites = compact.count()
-    if n_sites <= max_sites:
-        parts = [compact]
-    else:
-        n_parts = -(-n_sites // max_sites)
-        parts = _bounded_parts(compact, n_parts * 2, max_sites)
+    parts = _bounded_parts(compact, max(1, -(-compact.count() // max_sites)), max_sites)
     best = points.withColumn("best", F.lit(None).cast("struct<distance:double,site_order:bigint,zone:string>"))
     for part in parts:
         listed = part.agg(F.collect_list(F.struct("lat", "long", "site_order", "zone")).alias("sites"))
@@ -88,8 +84,9 @@ def nearest_zone(points: DataFrame, sites: DataFrame, point_id: str, max_sites:
             ),
         )
         best = best.withColumn("best", F.least(F.col("best"), F.array_min(candidates)))
+    placed = F.col("lat").isNotNull() & F.col("long").isNotNull() & ~F.isnan("lat") & ~F.isnan("long")
     return best.select(
-        point_id, F.col("best.zone").alias("zone"), F.col("best.distance").alias("distance")
+        point_id, F.when(placed, F.col("best.zone")).alias("zone"), F.when(placed, F.col("best.distance")).alias("distance")
     )
 
 
@@ -98,7 +95,7 @@ def _bounded_parts(sites: DataFrame, n_parts: int, max_sites: int) -> list[DataF
     while True:
         part_of = F.pmod(F.xxhash64("lat", "long"), F.lit(n_parts))
         largest = sites.groupBy(part_of.alias("part")).count().agg(F.max("count")).first()[0]
-        if largest <= max_sites:
+        if (largest or 0) <= max_sites:
             return [sites.filter(part_of == i) for i in range(n_parts)]
         n_parts *= 2
 
@@ -107,10 +104,17 @@ def relationship_star(dim: DataFrame, hourly: DataFrame, system: DataFrame, peak
     """Zones with their hours, the system row of each hour and the zone's peak row.
 
     Peaks are first reduced to one row per zone (and ``by``), because they live at a coarser grain
-    than hours and must not be repeated inside a sum.
+    than hours and must not be repeated inside a sum. Hours meet the zones by an inner join, in which a zone
+    with very many hours can be split; zones without hours are added after it.
     """
     per_zone = peaks.groupBy("zone", *by).agg(
         F.sum("peak_hour_mw").alias("zone_peak_mw"), F.avg("pct_hist_peak_mw").alias("zone_pct")
     )
-    hours = dim.join(hourly, "zone", "left").join(system, ["hour", *by], "left")
+    hours = with_all_zones(dim, hourly).join(system, ["hour", *by], "left")
     return hours.join(per_zone, ["zone", *by], "left")
+
+
+def with_all_zones(dim: DataFrame, facts: DataFrame) -> DataFrame:
+    """Zones with their facts, and once, with nulls, the zones that have none."""
+    absent = dim.join(facts.select("zone").distinct(), "zone", "left_anti")
+    return dim.join(facts, "zone").unionByName(absent, allowMissingColumns=True)

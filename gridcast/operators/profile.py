@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import combinations_with_replacement
 
@@ -29,9 +30,9 @@ def zone_counts(df: DataFrame) -> DataFrame:
 
 
 def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Nulls per column, and nulls divided by the number of present values."""
+    """Nulls, and in floating columns not-a-numbers, per column, and nulls divided by the number of present values."""
     columns = list(columns or df.columns)
-    present = df.agg(F.count(F.lit(1)).alias("__rows"), *[F.count(c).alias(c) for c in columns])
+    present = df.agg(F.count(F.lit(1)).alias("__rows"), *[F.count(_there(df, c)).alias(c) for c in columns])
     return _long_form(
         present,
         [F.struct(F.lit(c).alias("column"), (F.col("__rows") - F.col(c)).alias("nulls"),
@@ -41,7 +42,7 @@ def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
 
 def widest_range(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Column with the largest spread; the first listed wins a tie."""
-    spreads = df.agg(*[(F.max(_number(df, c)) - F.min(_number(df, c))).alias(c) for c in columns])
+    spreads = df.agg(*[(F.max(_present(df, c)) - F.min(_present(df, c))).alias(c) for c in columns])
     entries = _long_form(
         spreads,
         [F.struct(F.lit(c).alias("column"), F.lit(-i).alias("rank"), F.col(c).alias("spread")) for i, c in enumerate(columns)],
@@ -64,7 +65,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str], digits: int = 4) -
 
 
 def global_max(df: DataFrame, column: str) -> DataFrame:
-    return df.agg(F.max(column).alias(column))
+    return df.agg(F.max(_there(df, column)).alias(column))
 
 
 def distinct_zones(df: DataFrame, position: str) -> DataFrame:
@@ -99,7 +100,7 @@ def column_profile(df: DataFrame, exact: bool = False) -> DataFrame:
     if not exact:
         return entries
     values = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in names
+        F.struct(F.lit(c).alias("column"), _as_text(df, c).alias("value")) for c in names
     ]))).filter(F.col("value").isNotNull())
     distinct = values.groupBy("column", "value").agg(F.lit(1).alias("one"))
     counts = distinct.groupBy("column").agg(F.count(F.lit(1)).alias("distinct_values"))
@@ -108,6 +109,14 @@ def column_profile(df: DataFrame, exact: bool = False) -> DataFrame:
     )
 
 
+def _as_text(df: DataFrame, name: str) -> Column:
+    """A text that is equal where the values are: one zero, and bytes as they are."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return (F.col(name) + F.lit(0.0)).cast("string")
+    return F.hex(name) if isinstance(kind, T.BinaryType) else F.col(name).cast("string")
+
+
 def _kind(kind: T.DataType) -> str:
     if isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
         return "real"
@@ -135,6 +144,13 @@ def summary_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def _there(df: DataFrame, name: str) -> Column:
+    """The value in its own type, or null where it is missing or not a number."""
+    if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
+        return F.when(~F.isnan(name), F.col(name))
+    return F.col(name)
+
+
 def _present(df: DataFrame, column: str) -> Column:
     """The number, or null where it is missing or not a number."""
     v = _number(df, column)
@@ -162,14 +178,26 @@ def exact_quantiles(
     sees at most ``bins`` of them per wanted rank.
     """
     ends = {c: m for c, m in (moments or _moments(df, columns)).items() if m["count"]}
+    # Infinite values have their ranks at the two ends and are counted apart; the search is among the others.
+    infinite = {c for c, m in ends.items() if math.isinf(m["min"]) or math.isinf(m["max"])}
+    finite = _finite(df, sorted(infinite)) if infinite else {}
     wanted = {}
     for c, m in ends.items():
         for p in probabilities:
             place = (m["count"] - 1) * p
             wanted[c, p] = (int(place), min(int(place) + 1, m["count"] - 1), place - int(place))
     # (column, rank) -> (low end, high end, values below the low end)
-    open_ranks = {(c, k): (ends[c]["min"], ends[c]["max"], 0) for (c, _), (a, b, _) in wanted.items() for k in (a, b)}
     found: dict[tuple[str, int], float] = {}
+    open_ranks = {}
+    for (c, _), (a, b, _) in wanted.items():
+        for k in (a, b):
+            below, n, low, high = finite.get(c) or (0, ends[c]["count"], ends[c]["min"], ends[c]["max"])
+            if k < below:
+                found[c, k] = -math.inf
+            elif k >= below + n:
+                found[c, k] = math.inf
+            else:
+                open_ranks[c, k] = (low, high, below)
     while open_ranks:
         for key, (lo, hi, _) in list(open_ranks.items()):
             if lo == hi:
@@ -180,13 +208,29 @@ def exact_quantiles(
             for (c, k), (lo, hi, below) in open_ranks.items():
                 for part in counted[c, lo, hi]:
                     if k < below + part["n"]:
+                        if (part["first"], part["last"]) == (lo, hi) and len(counted[c, lo, hi]) == 1:
+                            raise ArithmeticError(f"no progress on {c} between {lo} and {hi}")
                         open_ranks[c, k] = (part["first"], part["last"], below)
                         break
                     below += part["n"]
-    return {
-        key: found[key[0], a] + (found[key[0], b] - found[key[0], a]) * share
-        for key, (a, b, share) in wanted.items()
-    }
+
+    def between(low: float, high: float, share: float) -> float:
+        if low == high or share == 0:
+            return low
+        return low * (1 - share) + high * share if math.isinf(low) or math.isinf(high - low) else low + (high - low) * share
+
+    return {key: between(found[key[0], a], found[key[0], b], share) for key, (a, b, share) in wanted.items()}
+
+
+def _finite(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[int, int, float, float]]:
+    """Per column: how many values are minus infinity and how many finite, and the ends of these."""
+    entries = []
+    for c in columns:
+        v = _present(df, c)
+        inner = F.when(F.abs(v) < math.inf, v)
+        entries.append(F.struct(F.count_if(v == -math.inf).alias("below"), F.count(inner).alias("n"), F.min(inner).alias("low"), F.max(inner).alias("high")).alias(c))
+    row = df.agg(*entries).first()
+    return {c: tuple(row[c]) for c in columns}
 
 
 def _count_parts(df: DataFrame, intervals: set[tuple[str, float, float]], bins: int) -> dict[tuple, list[Row]]:
@@ -196,7 +240,8 @@ def _count_parts(df: DataFrame, intervals: set[tuple[str, float, float]], bins:
         F.struct(F.lit(c).alias("column"), _present(df, c).alias("v")) for c in sorted({c for c, _, _ in intervals})
     ])))
     lo, hi = F.col("lo"), F.col("hi")
-    part = F.least(F.floor((F.col("v") - lo) / (hi - lo) * bins), F.lit(bins - 1))
+    # Halved first: the distance of two large values may be more than a double holds.
+    part = F.least(F.floor((F.col("v") / 2 - lo / 2) / (hi / 2 - lo / 2) * bins), F.lit(bins - 1))
     rows = (
         values.join(table, "column").filter(F.col("v").between(lo, hi))
         .groupBy("column", "lo", "hi", part.alias("part"))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridcast.operators.joins import with_all_zones
 from gridcast.operators.selection import member_filter
 
 
@@ -18,7 +19,7 @@ def attr(column: str) -> Column:
 def map_sheet(dim: DataFrame, peaks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Per place: the peak as attribute and as sum, and the mean share of the record."""
     return (
-        dim.join(peaks.drop("hist_peak_mw"), "zone", "left")
+        with_all_zones(dim, peaks.drop("hist_peak_mw"))
         .groupBy("zone", "full_zone_name", "lat", "long", *by)
         .agg(
             attr("peak_hour_mw").alias("attr_peak_hour_mw"),

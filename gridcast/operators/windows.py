@@ -23,7 +23,8 @@ def lag_rows(
     A window over a whole key would put a zone holding a third of the table into one task. Instead
     rows get their position inside the key from counts per (key, bucket), are cut into blocks of
     ``block_rows`` positions, and the last rows of a block are also sent to the following block, so
-    that every window sees one bounded block. ``order_by`` must be unique inside a key, and ``bucket``
+    that every window sees one bounded block. Rows with a null key or position are kept, nulls first in
+    order. ``order_by`` must be unique inside a key, and ``bucket``
     must grow with it; the default bucket is the day.
     """
     keys = list(keys)
@@ -33,10 +34,13 @@ def lag_rows(
 
     counts = bucketed.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     earlier = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "__bucket", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__offset"))
+    offsets = counts.select(
+        *[F.col(k).alias(f"__at_{k}") for k in (*keys, "__bucket")], F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__offset"))
+    # A null key or bucket is a group like any other.
+    alike = [F.col(k).eqNullSafe(F.col(f"__at_{k}")) for k in (*keys, "__bucket")]
 
     in_bucket = Window.partitionBy(*keys, "__bucket").orderBy(order_by)
-    placed = bucketed.join(offsets, [*keys, "__bucket"]).withColumn(
+    placed = bucketed.join(offsets, alike).drop(*offsets.columns[:-1]).withColumn(
         "__pos", F.col("__offset") + F.row_number().over(in_bucket) - 1
     )
     block = F.floor(F.col("__pos") / size)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,17 +26,19 @@ def build_session(app_name: str = "gridcast", master: str | None = None, **conf:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the folder named by ``spark.checkpoint.dir``.
-
-    Only a local-mode session without that setting gets a folder on this machine; on a cluster the
-    setting is required, because executors must all see what is written there.
-    """
+    """A fresh path in a folder that every executor reaches: the one named by ``spark.checkpoint.dir``, or else, in a
+    local session, the warehouse. On a cluster the setting is required. What is written there goes when the session's
+    JVM ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="gridcast-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        base = spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if isinstance(spark, SparkSession):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

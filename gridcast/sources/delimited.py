@@ -37,11 +37,12 @@ def read_zone_peaks(spark: SparkSession, path: str) -> DataFrame:
     return read_zone_dimension(spark, path).select("zone", "hist_peak_mw")
 
 
-def load_history(spark: SparkSession, path: str, dim: DataFrame) -> DataFrame:
-    """Metered load of known zones summed by hour. Unknown zones are dropped before the shuffle."""
+def load_history(spark: SparkSession, path: str, dim: DataFrame, fmt: str | None = None) -> DataFrame:
+    """Metered load of known zones summed by hour; ``fmt`` says how times are written, ISO if not given. Unknown zones
+    are dropped before the shuffle."""
     raw = read_delimited(spark, path, schemas.METERED_HISTORY)
     metered = known_zones(raw, dim).select(
-        parse_wall_time(F.col("datetime_beginning_ept")).alias("ds"), "zone", "mw"
+        parse_wall_time(F.col("datetime_beginning_ept"), fmt).alias("ds"), "zone", "mw"
     )
     return history_hourly(metered)
 
@@ -56,7 +57,7 @@ def read_or_fallback(spark: SparkSession, primary: str, fallback: str) -> DataFr
     Only a missing path falls back; a broken file still fails.
     """
     try:
-        return spark.read.parquet(primary)
+        return spark.read.schema(schemas.SAVED_FORECAST).parquet(primary).drop("index")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise

@@ -74,3 +74,18 @@ def test_calendar_keeps_hours_without_weather(frame):
     weather = frame([("AE", 1, 50.0), ("AE", 9, 60.0)], "zone string, datetime int, temp double")
     got = {r["datetime"]: r["temp"] for r in joins.calendar_weather(calendar, weather).collect()}
     assert got == {1: 50.0, 2: None}
+
+
+def test_nearest_zone_without_coordinates(frame):
+    sites = frame([(0, "A", None, 1.0), (1, "B", 0.0, 0.0), (2, "C", float("nan"), 0.0)], "site_order int, zone string, lat double, long double")
+    points = frame([(1, 0.0, 1.0), (2, None, 1.0)], "id int, lat double, long double")
+    got = {r["id"]: (r["zone"], r["distance"]) for r in joins.nearest_zone(points, sites, "id").collect()}
+    assert got == {1: ("B", 1.0), 2: (None, None)}
+    none = joins.nearest_zone(points, sites.filter("false"), "id")
+    assert {(r["id"], r["zone"]) for r in none.collect()} == {(1, None), (2, None)}
+
+
+def test_star_keeps_zones_without_hours(frame):
+    dim = frame([("A",), ("B",)], "zone string")
+    facts = frame([("A", 1), ("X", 2)], "zone string, v int")
+    assert sorted(map(str, map(tuple, joins.with_all_zones(dim, facts).collect()))) == ["('A', 1)", "('B', None)"]

@@ -1,5 +1,7 @@
 import datetime as dt
 
+from functools import partial
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -86,9 +88,9 @@ def test_vif_matches_the_regression_form(spark):
 
 
 def test_mape_skips_and_counts_zero_loads(frame):
-    df = frame([("AE", 0.0, 1.0), ("AE", 10.0, 9.0), ("AP", 0.0, 1.0)], "zone string, mw double, prediction double")
-    got = {r["zone"]: (r["mape"], r["mape_pct"], r["skipped"]) for r in evaluate.mape_by_zone(df).collect()}
-    assert got["AE"] == (pytest.approx(0.1), pytest.approx(10.0), 1) and got["AP"] == (None, None, 1)
+    df = frame([("AE", 0.0, 1.0), ("AE", 10.0, 9.0), ("AE", 8.0, None), ("AP", 0.0, 1.0)], "zone string, mw double, prediction double")
+    got = {r["zone"]: (r["mape"], r["mape_pct"], r["skipped"], r["unscored"]) for r in evaluate.mape_by_zone(df).collect()}
+    assert got["AE"] == (pytest.approx(0.1), pytest.approx(10.0), 1, 1) and got["AP"] == (None, None, 1, 0)
     assert evaluate.mean_absolute_error(df, "mw", "prediction").first()["mae"] == 1.0
 
 
@@ -124,16 +126,16 @@ def hand_made(frame):
     return frame(rows, NODES)
 
 
-@pytest.mark.parametrize("limits", [{}, {"max_nodes": 1, "rows_per_group": 2}])
-def test_trees_with_nulls_thresholds_and_unknown_zones(frame, hand_made, limits):
+@pytest.mark.parametrize("score", [trees.score_trees, partial(trees.score_trees_grouped, rows_per_group=2)])
+def test_trees_with_nulls_thresholds_and_unknown_zones(frame, hand_made, score):
     rows = [(1, "AE", 10.0, 9.0), (2, "AE", 11.0, 5.0), (3, "AE", 11.0, 6.0), (4, "AE", None, 6.0), (5, "AE", 11.0, None),
             (6, "AP", None, None), (7, "XX", 1.0, 1.0), (8, None, 1.0, 1.0)]
     df = frame(rows, "id int, zone string, x double, y double")
-    scored = trees.score_trees(df, hand_made, ["x", "y"], **limits)
+    scored = score(df, hand_made, ["x", "y"])
     assert scored.columns == ["id", "zone", "x", "y", "prediction"]
     got = {r["id"]: r["prediction"] for r in scored.collect()}
     assert got == {1: 2001.0, 2: 2020.0, 3: 2300.0, 4: 2300.0, 5: 2020.0, 6: 7.0, 7: None, 8: None}
-    strict = {r["id"]: r["prediction"] for r in trees.score_trees(df, hand_made, ["x", "y"], inclusive=False, **limits).collect()}
+    strict = {r["id"]: r["prediction"] for r in score(df, hand_made, ["x", "y"], inclusive=False).collect()}
     assert strict[1] == 2300.0 and strict[2] == 2300.0
 
 
@@ -141,7 +143,7 @@ def test_stored_boosted_models_score_like_the_models(spark, planted, tmp_path):
     df = planted.na.drop().withColumn("rain", F.col("rain").cast("double"))
     models = trees.fit_boosted(df, ["AE", "DOM"], FEATURES, "mw", rounds=3, depth=3)
     model_store.save_tree_models(models, str(tmp_path / "b"))
-    nodes = model_store.load_trees(spark, str(tmp_path / "b"), ["AE", "DOM"], FEATURES)
+    nodes = model_store.load_trees(spark, str(tmp_path / "b"), FEATURES)
     got = trees.score_trees(df, nodes, FEATURES)
     for zone, model in models.items():
         want = model.transform(trees.assemble(df.filter(F.col("zone") == zone), FEATURES)).select("mw", F.col("prediction").alias("want"))
@@ -208,3 +210,12 @@ def test_growing_response_has_no_constants(frame):
     df = frame(rows, "zone string, ds timestamp_ntz, u double, y double")
     row = response.first_order(df, "u", "y").first()
     assert row["a"] == pytest.approx(1.2) and row["tau"] is None and row["k"] is None
+
+
+def test_zone_names_with_pattern_characters(spark, frame, tmp_path):
+    zone = "A[1]*"
+    df = frame([(z, float(i), float(i % 3)) for z in (zone, "7") for i in range(30)], "zone string, x double, mw double")
+    models = trees.fit_boosted(df, [zone, "7"], ["x"], "mw", rounds=2, depth=2)
+    model_store.save_tree_models(models, str(tmp_path / "m"))
+    nodes = model_store.load_trees(spark, str(tmp_path / "m"), ["x"])
+    assert {r["zone"] for r in nodes.select("zone").distinct().collect()} == {zone, "7"}

@@ -96,3 +96,23 @@ def test_next_forecast_date(frame):
     df = frame([(dt.datetime(2022, 11, 7, 23),), (dt.datetime(2022, 11, 1),)], "ds timestamp_ntz")
     assert profile.next_forecast_date(df).first()[0] == dt.date(2022, 11, 8)
     assert profile.global_max(df, "ds").first()[0] == dt.datetime(2022, 11, 7, 23)
+
+
+def test_not_a_number_is_missing(frame):
+    df = frame([(1.0, 1), (float("nan"), 2), (3.0, None)], "x double, y int")
+    assert {r["column"]: r["nulls"] for r in profile.null_profile(df).collect()} == {"x": 1, "y": 1}
+    assert profile.widest_range(df, ["x", "y"]).first()["spread"] == 2.0
+    assert profile.global_max(df, "x").first()["x"] == 3.0
+
+
+def test_quantiles_of_infinite_and_very_large_values(frame):
+    inf = float("inf")
+    df = frame([(v,) for v in (-inf, 1.0, 2.0, 3.0, inf)], "x double")
+    assert profile.exact_quantiles(df, ["x"], [0.0, 0.25, 0.5, 0.75, 1.0]) == {("x", 0.0): -inf, ("x", 0.25): 1.0, ("x", 0.5): 2.0, ("x", 0.75): 3.0, ("x", 1.0): inf}
+    wide = frame([(v,) for v in (-1.7e308, 0.0, 1.7e308)], "x double")
+    assert profile.exact_quantiles(wide, ["x"], [0.5]) == {("x", 0.5): 0.0}
+
+
+def test_exact_distinct_counts_values(frame):
+    df = frame([(0.0, bytearray(b"\xff")), (-0.0, bytearray(b"\xfe")), (1.0, bytearray(b"\xff"))], "x double, b binary")
+    assert {r["column"]: r["distinct_values"] for r in profile.column_profile(df, exact=True).collect()} == {"x": 2, "b": 2}

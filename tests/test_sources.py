@@ -43,7 +43,7 @@ def test_fallback_only_when_the_path_is_absent(spark, frame, tmp_path):
     assert delimited.forecast_date(read).first()[0] == dt.date(2022, 11, 16)
 
     primary = str(tmp_path / "primary")
-    frame([("AE", 7.0)], "zone string, mw double").write.parquet(primary)
+    frame([(0, dt.date(2022, 11, 16), 0, "AE", 7.0, 50.0)], "index int, date date, hour int, zone string, mw double, temp double").write.parquet(primary)
     assert delimited.read_or_fallback(spark, primary, str(saved)).first()["mw"] == 7.0
 
     (tmp_path / "broken").mkdir()

@@ -54,3 +54,11 @@ def test_table_calc_difference_uses_the_mark_before(frame):
     rows = frame([("a", 0, 1.0), ("a", 0, 2.0), ("a", 3, 10.0), ("b", 1, 4.0)], "zone string, hour int, hourly_mw double")
     got = {(r["zone"], r["hour"]): r["difference"] for r in windows.table_calc_difference(rows).collect()}
     assert got == {("a", 0): None, ("a", 3): 7.0, ("b", 1): None}
+
+
+def test_lag_keeps_rows_without_key_or_time(frame):
+    rows = [("A", dt.datetime(2022, 1, 1, h), float(h), 0.0) for h in range(3)] + [(None, dt.datetime(2022, 1, 1, h), float(h), 0.0) for h in range(2)] + [("A", None, 9.0, 0.0)]
+    got = windows.lag_one(frame(rows, "zone string, ds timestamp_ntz, mw double, temp double")).collect()
+    assert len(got) == 6
+    assert {(r["zone"], r["ds"] and r["ds"].hour): r["previous_mw"] for r in got} == {
+        ("A", None): None, ("A", 0): 9.0, ("A", 1): 0.0, ("A", 2): 1.0, (None, 0): None, (None, 1): 0.0}
