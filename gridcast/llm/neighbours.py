@@ -103,6 +103,11 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.filter(F.size("embedding") == (common["n"] if common else 0))
 
 
+def dealt(ids: np.ndarray, n: int) -> np.ndarray:
+    """A share from 0 to n - 1 for each id, even for ids in steps."""
+    return ((ids * 0x9E3779B1) >> 15) % n
+
+
 def matrix(values) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in values]) if len(values) else np.zeros((0, 1))
 
@@ -146,7 +151,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = TREE
                 continue
             leaves = held.leaves(levelled(matrix(table["embedding"]), largest))
             for tree in range(leaves.shape[1]):
-                yield pd.DataFrame({"tree": tree, "leaf": leaves[:, tree], "chunk": table["vec_id"].to_numpy() // 7 % chunks,
+                yield pd.DataFrame({"tree": tree, "leaf": leaves[:, tree], "chunk": dealt(table["vec_id"].to_numpy(), chunks),
                                     "vec_id": table["vec_id"], "embedding": table["embedding"]})
 
     def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,7 +164,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = TREE
                 at = np.repeat(np.arange(len(piece)), [len(v) for v in visits])
                 flat = np.array([x for v in visits for x in v], dtype=np.int32)
                 ids = piece["vec_id"].to_numpy()[at]
-                yield pd.DataFrame({"tree": flat[:, 0], "leaf": flat[:, 1], "deck": ids // 7 % decks, "vec_id": ids,
+                yield pd.DataFrame({"tree": flat[:, 0], "leaf": flat[:, 1], "deck": dealt(ids, decks), "vec_id": ids,
                                     "embedding": piece["embedding"].to_numpy()[at]})
 
     equal = Window.partitionBy("embedding").orderBy("vec_id")
