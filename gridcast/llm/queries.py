@@ -218,13 +218,60 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@query("op3_minhash")
+OP3_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), runs AS (
+  SELECT doc_id, md5(array_to_string(w[i:i + 4], ' ')) AS run, count(*) AS n FROM d, range(1, greatest(1, len(w) - 4) + 1) r(i) WHERE len(w) > 0 GROUP BY ALL
+), sizes AS (
+  SELECT doc_id, sum(n) AS size FROM runs GROUP BY doc_id
+), common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, sum(least(x.n, y.n)) AS shared FROM runs x JOIN runs y ON x.run = y.run AND x.doc_id < y.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common JOIN sizes s ON a = s.doc_id JOIN sizes t ON b = t.doc_id WHERE shared / (s.size + t.size - shared) >= 0.8
+), ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached AS (
+  SELECT doc_id AS root, doc_id AS node FROM documents UNION SELECT root, b FROM reached JOIN ways ON node = a
+)
+SELECT node AS doc_id, min(root) AS class_id FROM reached GROUP BY node
+"""
+
+
+@query("op3_minhash", OP3_SQL)
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of each document."""
     return dart_minhash.classes(table(spark, sf_dir, "documents"))
 
 
-@query("op2_line_dedup")
+# One edit or none: the lines are equal without their i-th character, or one is the other without a character.
+OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents
+), places AS (
+  SELECT doc_id, i, lines[i] AS line FROM d, range(1, len(lines) + 1) r(i) WHERE length(lines[i]) >= 20
+), firsts AS (
+  SELECT line, min((doc_id, i)) AS spot FROM places GROUP BY line
+), cuts AS (
+  SELECT line, spot, i, md5(substr(line, 1, i - 1) || substr(line, i + 1)) AS code FROM firsts, range(1, length(line) + 1) r(i)
+), near AS (
+  SELECT DISTINCT x.line, x.spot, y.line AS other, y.spot AS other_spot FROM cuts x JOIN cuts y ON x.code = y.code AND x.i = y.i AND x.line <> y.line
+  UNION SELECT x.line, x.spot, f.line, f.spot FROM cuts x JOIN (SELECT *, md5(line) AS code FROM firsts) f USING (code)
+  UNION SELECT f.line, f.spot, x.line, x.spot FROM cuts x JOIN (SELECT *, md5(line) AS code FROM firsts) f USING (code)
+), verdicts AS (
+  SELECT line, count(*) AS links, bool_or(other_spot < spot) AS earlier FROM near GROUP BY line
+), judged AS (
+  SELECT p.doc_id, f.spot < (p.doc_id, p.i) AS copy, coalesce(earlier, false) AS earlier, coalesce(links, 0) AS links
+  FROM places p JOIN firsts f USING (line) LEFT JOIN verdicts v USING (line)
+), summed AS (
+  SELECT doc_id, count(*) FILTER (copy OR earlier) AS n_removed, count(*) FILTER (NOT copy AND earlier) AS n_near, sum(links) AS links FROM judged GROUP BY doc_id
+)
+SELECT doc_id, coalesce(len(lines), 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_near, 0)::BIGINT AS n_near, coalesce(links, 0)::BIGINT AS links
+FROM d LEFT JOIN summed USING (doc_id)
+"""
+
+
+@query("op2_line_dedup", OP2_SQL)
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many lines of each document repeat an earlier line or are alike to one."""
     return line_dedup.dedup_report(table(spark, sf_dir, "documents"))
