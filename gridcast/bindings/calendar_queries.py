@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridcast.bindings import common as c
-from gridcast.bindings.common import query, sql
+from gridcast.bindings.common import codes, query, sql
 from gridcast.bindings.selection_queries import _HOLIDAY
 from gridcast.functions import calendar as cal
 from gridcast.functions import display, weather
+from gridcast.functions.weather import INHG_PER_HPA, RAIN_CODES, SNOW_CODES
 from gridcast.operators import peaks
 
 _DATE = "CAST(o_orderdate AS DATE)"
@@ -87,16 +88,16 @@ def holiday_flag(spark, d):
     return c.order_dates(spark, d).select("o_orderkey", cal.holiday(F.col("date")).alias("holiday"))
 
 
-@query("weather_codes", sql("""
-    SELECT zone, time, weathercode, weathercode IN (51, 53, 55, 61, 63, 65, 80, 81, 82, 95, 96, 99) AS rain,
-           weathercode IN (56, 57, 66, 67, 71, 73, 75, 77, 85, 86) AS snow FROM weather_hourly""", "weather_hourly"))
+@query("weather_codes", sql(f"""
+    SELECT zone, time, weathercode, weathercode IN {codes(RAIN_CODES)} AS rain,
+           weathercode IN {codes(SNOW_CODES)} AS snow FROM weather_hourly""", "weather_hourly"))
 def weather_codes(spark, d):
     code = F.col("weathercode")
     return c.weather_hourly(spark, d).select(
         "zone", "time", "weathercode", weather.rain_flag(code).alias("rain"), weather.snow_flag(code).alias("snow"))
 
 
-@query("pressure_convert", sql("SELECT zone, time, round(surface_pressure * 0.029529983071445, 6) AS pressure FROM weather_hourly", "weather_hourly"))
+@query("pressure_convert", sql(f"SELECT zone, time, round(surface_pressure * {INHG_PER_HPA}, 6) AS pressure FROM weather_hourly", "weather_hourly"))
 def pressure_convert(spark, d):
     return c.weather_hourly(spark, d).select("zone", "time", F.round(weather.to_inhg(F.col("surface_pressure")), 6).alias("pressure"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gridcast import schemas
 from gridcast.functions.calendar import ntz, wall_hour
+from gridcast.functions.weather import INHG_PER_HPA, RAIN_CODES, SNOW_CODES
 from gridcast.operators import joins
 from gridcast.plans import day_ahead
 from gridcast.session import materialize, scratch_path
@@ -191,6 +192,10 @@ def declared_by_day() -> dict:
 
 # ------------------------------------------------------------------ SQL views
 
+def codes(numbers) -> str:
+    return "(" + ", ".join(map(str, numbers)) + ")"
+
+
 _K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER)"
 
 VIEWS = {
@@ -210,11 +215,10 @@ VIEWS = {
                max({_K}) AS weathercode, round(max(value) + 900, 4) AS surface_pressure,
                CAST(count(*) AS DOUBLE) AS windspeed_10m
         FROM events GROUP BY ALL""",
-    "weather": """
+    "weather": f"""
         SELECT zone, timezone('America/New_York', timezone('UTC', datetime + INTERVAL 5 HOUR)) AS datetime, temperature_2m AS temp, relativehumidity_2m AS rh, precipitation AS precip,
-               surface_pressure * 0.029529983071445 AS pressure, windspeed_10m AS windspeed,
-               weathercode IN (51, 53, 55, 61, 63, 65, 80, 81, 82, 95, 96, 99) AS rain,
-               weathercode IN (56, 57, 66, 67, 71, 73, 75, 77, 85, 86) AS snow
+               surface_pressure * {INHG_PER_HPA} AS pressure, windspeed_10m AS windspeed,
+               weathercode IN {codes(RAIN_CODES)} AS rain, weathercode IN {codes(SNOW_CODES)} AS snow
         FROM weather_hourly""",
     "spine": """
         SELECT zone, CAST(date AS TIMESTAMP) + to_hours(CAST(h.hour AS BIGINT)) AS datetime

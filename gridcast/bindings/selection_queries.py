@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gridcast.bindings import common as c
 from gridcast.bindings.common import query, sql
-from gridcast.operators import peaks, profile
+from gridcast.operators import joins, peaks, profile
 from gridcast.operators import selection as sel
 
 _IN = c.sql_list(c.SELECTED)
@@ -175,6 +175,22 @@ def toggle_selection(spark, d):
     return sel.toggle_selection(c.selection_table(clicks).distinct(), clicks)
 
 
+@query("click_to_toggle", """
+    WITH points AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS lat, CAST(embedding[2] AS DOUBLE) AS long, label FROM embeddings),
+    sites AS (SELECT label, CAST(label AS VARCHAR) AS zone, round(avg(lat), 6) AS lat, round(avg(long), 6) AS long FROM points GROUP BY label),
+    clicked AS (SELECT vec_id, arg_min(s.zone, (abs(p.lat - s.lat) + abs(p.long - s.long), s.label)) AS zone FROM points p, sites s GROUP BY vec_id)
+    SELECT zone FROM (SELECT zone FROM clicked UNION ALL SELECT DISTINCT zone FROM sites WHERE zone IN ('1', '2', '3'))
+    GROUP BY zone HAVING count(*) % 2 = 1""")
+def click_to_toggle(spark, d):
+    """Points that are clicked, the zone nearest to each, and what is selected after all of them."""
+    points = c.table(spark, d, "embeddings").select(
+        "vec_id", "label", F.get("embedding", F.lit(0)).cast("double").alias("lat"), F.get("embedding", F.lit(1)).cast("double").alias("long"))
+    sites = points.groupBy("label").agg(F.round(F.avg("lat"), 6).alias("lat"), F.round(F.avg("long"), 6).alias("long")).select(
+        F.col("label").alias("site_order"), F.col("label").cast("string").alias("zone"), "lat", "long")
+    clicks = joins.nearest_zone(points.select("vec_id", "lat", "long"), sites, "vec_id")
+    return sel.toggle_selection(sites.filter(F.col("zone").isin("1", "2", "3")), clicks)
+
+
 @query("sorted_zones", "SELECT DISTINCT event_type AS zone FROM events ORDER BY zone")
 def sorted_zones(spark, d):
     return c.readings(spark, d).select("zone").distinct().orderBy("zone")
