@@ -6,10 +6,11 @@ the same hashed darts fall in every document, at ranks with exponential gaps, ea
 document throws only darts below a rank at which it expects all its coordinates to be hit, whatever its size, and keeps the
 earliest per coordinate. Two documents agree in a coordinate with the probability of their weighted Jaccard similarity.
 
-Texts of equal words are one node. Nodes that agree in a band are first compared with the smallest of the band only, which joins
-groups of copies of any size in as many comparisons as they have members. Then those that share a band but are still in
-different components are compared with each other, so no pair that meets in a band is left out. All comparisons are exact; at
-a similarity of 0.8 a pair meets in some band with probability 1 - 5e-8. Classes are the connected components.
+Texts of equal words are one node. Nodes that agree in a band are first compared with one of them only, the one that meets most
+others, which joins groups of copies of any size in as many comparisons as they have members. Then those that share a band but
+are still in different components are compared with each other, but for pairs whose weights, or the runs they share with any
+text at all, show that they cannot be alike: no pair that could be alike and meets in a band is left out. All comparisons are
+exact; at a similarity of 0.8 a pair meets in some band with probability 1 - 5e-8. Classes are the connected components.
 
 The class of a document is the smallest id in it. Texts without words are each their own class; so are rows without an id,
 with a null class. An id stands for one text: repeated rows fall together.
@@ -158,6 +159,18 @@ def alike(pairs: DataFrame, elements: DataFrame, least: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(similarity(F.col("of_a"), F.col("of_b")) >= least).select("a", "b")
 
 
+def _like(x: Column, y: Column, least: float) -> Column:
+    """Texts are never more similar than the smaller is to the larger in weight."""
+    return F.least(x, y) >= least * F.greatest(x, y) - 1e-9
+
+
+def _matchable(open_nodes: DataFrame, elements: DataFrame) -> DataFrame:
+    """For the nodes still to be compared: node, common (how many of its units some other of them has too)."""
+    units = elements.join(open_nodes.select("node").distinct(), "node").select("node", F.explode("elements").alias("unit"))
+    often = units.groupBy("unit").agg(F.count("*").alias("n")).filter("n > 1").select("unit")
+    return units.join(often, "unit").groupBy("node").agg(F.count("*").alias("common"))
+
+
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """For rows (doc_id, text): doc_id and class_id, one row per row."""
     texts = docs.select("doc_id", "text")
@@ -166,25 +179,30 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     nodes = stored(signs.filter("print is not null").groupBy("print").agg(
         F.min("doc_id").alias("node"), F.first("weight").alias("weight"), F.first("bands").alias("bands")))
     held = nodes.select("node", "weight", F.explode("bands").alias("key"))
-    shared = held.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last").select("key", "hub")
-    met = stored(held.join(shared, "key"))
-    tried = stored(met.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
-
-    def elements_of(pairs: DataFrame) -> DataFrame:
-        needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-        return stored(narrowed(known, needed, "doc_id").join(needed, "doc_id").dropDuplicates(["doc_id"]).mapInPandas(_elements, "node long, elements array<long>"))
-
-    elements = elements_of(met.select(F.col("hub").alias("a"), F.col("node").alias("b")))
+    shared = held.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
+    met = stored(held.join(shared.select("key", "n"), "key"))
+    # The node that meets most others is the one its band is compared with: the likeliest original of a family of copies.
+    central = met.groupBy("node").agg(F.sum("n").alias("meets"))
+    hubs = met.join(central, "node").groupBy("key").agg(F.max_by(F.struct("node", "weight"), F.struct("meets", "node")).alias("hub"))
+    starred = met.join(hubs, "key").filter((F.col("node") != F.col("hub.node")) & _like(F.col("weight"), F.col("hub.weight"), least))
+    tried = stored(starred.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct())
+    needed = stored(met.select(F.col("node").alias("doc_id")).distinct())
+    elements = stored(narrowed(known, needed, "doc_id").join(needed, "doc_id").dropDuplicates(["doc_id"]).mapInPandas(
+        _elements, "node long, elements array<long>"))
     links = stored(alike(tried, elements, least))
     found = components(links)
-    # Bands in which more than one component meets: compare across them. A similarity needs like weights.
+    # Bands in which more than one component meets: compare across them.
     placed = met.join(found, "node", "left").select("key", "node", "weight", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-    open_nodes = stored(placed.join(mixed, "key"))
-    left = open_nodes.select("key", F.col("node").alias("a"), F.col("weight").alias("weight_a"), F.col("component").alias("in_a"))
-    right = open_nodes.select("key", F.col("node").alias("b"), F.col("weight").alias("weight_b"), F.col("component").alias("in_b"))
-    like = F.least("weight_a", "weight_b") >= least * F.greatest("weight_a", "weight_b") - 1e-9
-    across = left.join(right, "key").filter(like & (F.col("a") < F.col("b")) & (F.col("in_a") != F.col("in_b"))).select("a", "b").distinct()
+    open_nodes = stored(placed.join(mixed, "key").join(_matchable(placed.join(mixed, "key"), elements), "node"))
+    open_nodes = open_nodes.filter(F.col("common") >= least * F.col("weight") - 1e-9)
+    left = open_nodes.select("key", *(F.col(c).alias(f"{c}_a") for c in ("node", "weight", "component", "common")))
+    right = open_nodes.select("key", *(F.col(c).alias(f"{c}_b") for c in ("node", "weight", "component", "common")))
+    # Two texts can have in common only what each shares with any other text at all.
+    enough = F.least("common_a", "common_b") * (1 + least) >= least * (F.col("weight_a") + F.col("weight_b")) - 1e-9
+    apart = (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b"))
+    across = left.join(right, (left["key"] == right["key"]) & apart & enough & _like(F.col("weight_a"), F.col("weight_b"), least))
+    across = across.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
     more = alike(across.join(tried, ["a", "b"], "left_anti"), elements, least)
     final = components(links.union(more))
     by_print = nodes.join(final, "node", "left").select("print", F.coalesce("component", "node").alias("class_id"))
