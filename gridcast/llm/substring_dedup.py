@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridcast.llm.store import stored
+from gridcast.llm.store import few, narrowed, stored
 
 SIZE = 50
 ANCHOR = 10
@@ -183,7 +183,9 @@ def duplicate_runs(docs: DataFrame, size: int = SIZE) -> DataFrame:
     whole = mine.filter("lowest < doc_id").select("doc_id", "key", "start", "n")
     # Of a block that several documents have, the first one's windows stand for all.
     open_blocks = mine.filter("lowest = doc_id").groupBy("doc_id", "key").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("ns"))
-    windows = stored(known.join(open_blocks, ["doc_id", "key"]).mapInPandas(_emit_windows(size), "doc_id long, key long, start int, one long, two long"))
+    open_blocks = stored(open_blocks)
+    open_docs = narrowed(known, open_blocks.select("doc_id").distinct(), "doc_id")
+    windows = stored(open_docs.join(open_blocks, ["doc_id", "key"]).mapInPandas(_emit_windows(size), "doc_id long, key long, start int, one long, two long"))
     first = windows.groupBy("one", "two").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
     single = windows.join(first, ["one", "two"]).filter("first < doc_id").select("doc_id", "key", "start", F.lit(1).cast("short").alias("n"))
     return whole.unionByName(single)
@@ -192,7 +194,14 @@ def duplicate_runs(docs: DataFrame, size: int = SIZE) -> DataFrame:
 def remove_duplicates(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """Rows of (doc_id, text): doc_id, n_words, n_removed, kept (words joined by a blank), factors (from, to)."""
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
-    runs = duplicate_runs(keyed, size).groupBy("doc_id", "key").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("ns"))
-    joined = keyed.join(runs, ["doc_id", "key"], "left").select("doc_id", "text", "starts", "ns")
+    runs = stored(duplicate_runs(keyed, size).groupBy("doc_id", "key").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("ns")))
+    ids = runs.select("doc_id").distinct()
+    parts = [keyed]
+    if few(ids):
+        # Documents that lose nothing need not be shuffled.
+        parts = [keyed.join(F.broadcast(ids), "doc_id", "left_semi"), keyed.join(F.broadcast(ids), "doc_id", "left_anti")]
+    joined = parts[0].join(runs, ["doc_id", "key"], "left").select("doc_id", "text", "starts", "ns")
+    for rest in parts[1:]:
+        joined = joined.unionByName(rest.select("doc_id", "text", F.lit(None).cast("array<int>").alias("starts"), F.lit(None).cast("array<smallint>").alias("ns")))
     return joined.mapInPandas(_emit_kept(size), "doc_id long, n_words long, n_removed long, kept string, factors array<array<long>>")
 
