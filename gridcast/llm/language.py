@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridcast.llm.store import few, stored
+
 BUCKETS = 4096
 ORDERS = (1, 2, 3)
 SAMPLE = 1500
@@ -120,9 +122,10 @@ class Model:
 def fit(labelled: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> Model:
     """A model from rows (text, lang); rows without text or language are left out."""
     usable = labelled.filter("text is not null and lang is not null").select("text", "lang")
-    sizes = usable.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = stored(usable.groupBy("lang").agg(F.count("*").alias("n")))
+    sizes = F.broadcast(sizes) if few(sizes) else sizes
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    chosen = usable.join(sizes, "lang").filter(place * F.col("n") <= sample * F.lit(1 << 30).cast("double")).select("lang", "text")
+    chosen = stored(usable.join(sizes, "lang").filter(place * F.col("n") <= sample * F.lit(1 << 30).cast("double")).select("lang", "text"))
 
     def frequencies(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen, n = np.zeros(BUCKETS, dtype=np.int64), 0
