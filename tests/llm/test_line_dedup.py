@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from gridcast.llm import line_dedup
 
 
@@ -76,6 +77,44 @@ def test_join_finds_every_pair(documents):
         assert {r.doc_id: (r.n_removed, r.n_near, r.links) for r in got} == brute(rows, threshold, 8)
 
 
+CLASSES = ((8, 1), (13, 2), (18, 3))
+
+
+def test_threshold_grows_with_length_and_short_lines_go_as_repeats(documents):
+    rng = random.Random(21)
+    held = [x for _ in range(2) for x in lines(rng, 120, 3)] + ["Les.", " ", "x", "Les.", "\t", " ", "Les", "x",
+                                                               "one line of the longest class", "ne line o the longest clas",
+                                                               "twelve chars", "twelve chars!", "seventeen charact", "seventeen, characxt"]
+    rng.shuffle(held)
+    rows = [(i, "\n".join(held[i * 4:i * 4 + 4])) for i in range(-(-len(held) // 4))]
+
+    def alike(a, b):
+        limit = max([edits for first, edits in CLASSES if min(len(a), len(b)) >= first], default=0)
+        return min(len(a), len(b)) >= 8 and abs(len(a) - len(b)) <= limit and distance(a, b) <= limit
+
+    first, places = {}, []
+    for doc_id, text in rows:
+        for pos, line in enumerate(text.split("\n")):
+            if line.strip():
+                places.append((doc_id, pos, line))
+                first.setdefault(line, (doc_id, pos))
+    near = {a: [b for b in first if a != b and alike(a, b)] for a in first}
+    want = {doc_id: [0, 0, 0] for doc_id, _ in rows}
+    for doc_id, pos, line in places:
+        copy, earlier = first[line] < (doc_id, pos), any(first[b] < first[line] for b in near[line])
+        want[doc_id] = [n + m for n, m in zip(want[doc_id], (copy or earlier, earlier and not copy, len(near[line])))]
+    assert {len(a) - len(b) for a in near for b in near[a]} >= {-3, 3} and any(len(a) < 13 <= len(b) for a in near for b in near[a])
+    got = line_dedup.dedup_report(documents([(i, t, "s") for i, t in rows]), CLASSES, 8, exact_chars=1).collect()
+    assert {r.doc_id: [r.n_removed, r.n_near, r.links] for r in got} == want
+
+
+def test_stage_removes_a_line_with_one_word_replaced(spark, documents):
+    line = "All of the words of this line stand in both documents, in one order, " * 3
+    docs = documents([(1, f"Les.\n\n{line}", "s"), (2, f"Les.\n\n{line.replace('the', 'is', 1)}\nnew\n\nend", "s")])
+    got = {r.doc_id: r.text for r in corpus_pipeline.dedup_lines(spark, docs, "").collect()}
+    assert got == {1: f"Les.\n\n{line}", 2: "\nnew\n\nend"}
+
+
 LONG = "a line that is long enough to be compared"
 
 
