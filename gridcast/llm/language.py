@@ -3,7 +3,11 @@
 A text becomes a vector of character n-gram counts (orders 1 to 3, hashed to ``BUCKETS``), damped, weighted by inverse
 document frequency and scaled to length 1. The vectors of each language's labelled texts are clustered into a few
 centroids by spherical k-means. A text gets the language of the centroid with the largest cosine; if even that is
-below ``REJECT``, or the text has no letter, it is rejected.
+below the floor of the language for texts of its length, or the text has no letter, it is rejected.
+
+A floor is ``SLACK`` times a low quantile of the cosines of labelled texts, each cut to the shortest length of the class and
+scored by centroids of the other half of its language's texts. A class of less than ``LEAST`` such texts has the floor of the
+next shorter one; the shortest texts have ``REJECT``.
 
 The model is fitted on at most about ``SAMPLE`` labelled texts a language, chosen by a hash of their text; every text of
 the table is scored, whole. A null language is not learnt from. Null texts and texts without a letter get ``und`` and
@@ -21,12 +25,17 @@ from pyspark.sql import functions as F
 
 from gridcast.llm.store import few, stored
 
-BUCKETS = 4096
+BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)
 SAMPLE = 1500
 CENTROIDS = 4
 ROUNDS = 12
 REJECT = 0.1
+#: Lengths (letters, and one blank between words) from which on a floor of its own holds.
+LENGTHS = (16, 64, 256, 1024)
+QUANTILE = 0.005
+SLACK = 0.85
+LEAST = 20
 CHUNK = 1 << 20
 UNKNOWN = "und"
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -65,16 +74,16 @@ def counts(text: str | None) -> np.ndarray:
                 break
             code = (code[:size] * MIX) ^ (points[order - 1:] + np.uint64(order))
             if order in ORDERS:
-                hashed = (code[max(0, known - order + 1):] * MIX) >> np.uint64(52)
+                hashed = (code[max(0, known - order + 1):] * MIX) >> np.uint64(65 - BUCKETS.bit_length())
                 total += np.bincount(hashed.astype(np.int64), minlength=BUCKETS)
         tail = points[1 - max(ORDERS):]
     return total
 
 
-def vectors(texts, idf: np.ndarray | None = None) -> np.ndarray:
-    rows = np.stack([counts(t) for t in texts]) if len(texts) else np.zeros((0, BUCKETS))
-    rows = np.sqrt(rows)
-    return rows if idf is None else unit(rows * idf)
+def vectors(texts, idf: np.ndarray) -> np.ndarray:
+    """Unit vectors, made in pieces so that little is held besides them."""
+    pieces = [unit(np.sqrt(np.stack([counts(t) for t in texts[start:start + 64]])) * idf) for start in range(0, len(texts), 64)]
+    return np.concatenate(pieces) if pieces else np.zeros((0, BUCKETS), dtype=np.float32)
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -98,25 +107,40 @@ def clustered(rows: np.ndarray, k: int, rounds: int) -> np.ndarray:
     return centres
 
 
+def floors(texts: list[str], rows: np.ndarray, idf: np.ndarray, k: int, rounds: int) -> np.ndarray:
+    """Per length class, the shortest first, the cosine below which a text is in none of the learnt languages."""
+    halves = [clustered(rows[i::2], k, rounds) for i in (1, 0)] if len(texts) > 1 else []
+    found = [REJECT]
+    for length in LENGTHS:
+        cosines = [(vectors([t[:length] for t in texts[i::2] if len(t) >= length], idf) @ other.T).max(axis=1) for i, other in enumerate(halves)]
+        held = np.concatenate(cosines) if cosines else np.zeros(0)
+        found.append(SLACK * float(np.quantile(held, QUANTILE)) if len(held) >= LEAST else found[-1])
+    return np.array(found)
+
+
 class Model:
-    """Inverse document frequencies, and centroids with their language: of a size that does not grow with the data."""
+    """Inverse document frequencies, and centroids with their language and floors: of a size that does not grow with the data."""
 
-    def __init__(self, idf: np.ndarray, centroids: np.ndarray, names: list[str]):
-        self.idf, self.centroids, self.names = idf, centroids, names
+    def __init__(self, idf: np.ndarray, centroids: np.ndarray, names: list[str], floors: np.ndarray):
+        self.idf, self.centroids, self.names, self.floors = idf, centroids, names, floors
 
-    def predict(self, texts: pd.Series) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts: pd.Series) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score, and the score below which the text is rejected."""
         letters = [isinstance(t, str) and any(map(str.isalpha, t)) for t in texts]
         if not self.names:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts))
-        names, scores = [], np.zeros(len(texts))
+            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.full(len(texts), REJECT)
+        names, scores, least = [], np.zeros(len(texts)), np.zeros(len(texts))
         for start in range(0, len(texts), 64):
             part = [t if isinstance(t, str) else "" for t in texts.iloc[start:start + 64]]
-            cosines = vectors(part, self.idf) @ self.centroids.T
+            rows = np.stack([counts(t) for t in part])
+            cosines = unit(np.sqrt(rows) * self.idf) @ self.centroids.T
             best = cosines.argmax(axis=1)
             scores[start:start + 64] = cosines[np.arange(len(part)), best]
+            # Every place counts once in each order.
+            least[start:start + 64] = self.floors[best, np.searchsorted(LENGTHS, rows.sum(axis=1) / len(ORDERS), side="right")]
             names += [self.names[b] for b in best]
         known = np.array(letters, dtype=bool)
-        return [n if k else UNKNOWN for n, k in zip(names, known)], np.where(known, np.clip(scores, 0.0, 1.0), 0.0)
+        return [n if k else UNKNOWN for n, k in zip(names, known)], np.where(known, np.clip(scores, 0.0, 1.0), 0.0), least
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> Model:
@@ -141,39 +165,43 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> Model:
     idf = np.log((1 + n) / (1 + np.asarray(seen, dtype=np.float64))) + 1
 
     def centroids(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("text")
-        rows = clustered(vectors(list(part["text"]), idf), k, ROUNDS)
-        return pd.DataFrame({"lang": part["lang"].iloc[0], "centroid": [r.astype(float) for r in rows]})
+        texts = sorted(part["text"])
+        rows = vectors(texts, idf)
+        least = floors(texts, rows, idf, k, ROUNDS)
+        return pd.DataFrame({"lang": part["lang"].iloc[0], "centroid": [r.astype(float) for r in clustered(rows, k, ROUNDS)]}).assign(
+            floors=lambda found: [least] * len(found))
 
-    found = chosen.groupBy("lang").applyInPandas(centroids, "lang string, centroid array<double>").collect()  # k rows a language
+    found = chosen.groupBy("lang").applyInPandas(centroids, "lang string, centroid array<double>, floors array<double>").collect()  # k rows a language
     found.sort(key=lambda r: (r["lang"], r["centroid"]))
     stacked = np.array([r["centroid"] for r in found], dtype=np.float32).reshape(-1, BUCKETS)
-    return Model(idf, stacked, [r["lang"] for r in found])
+    least = np.array([r["floors"] for r in found], dtype=np.float64).reshape(-1, len(LENGTHS) + 1)
+    return Model(idf, stacked, [r["lang"] for r in found], least)
 
 
 def _found(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
-    """The whole row, and lang_pred and score as ``found``."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.idf, model.centroids, model.names))
+    """The whole row, and lang_pred, score and least (the floor) as ``found``."""
+    sent = docs.sparkSession.sparkContext.broadcast((model.idf, model.centroids, model.names, model.floors))
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, least double")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        names, scores = Model(*sent.value).predict(texts)
-        return pd.DataFrame({"lang_pred": names, "score": scores})
+        names, scores, least = Model(*sent.value).predict(texts)
+        return pd.DataFrame({"lang_pred": names, "score": scores, "least": least})
 
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), predict(F.col(text_col)).alias("found"))
 
 
-def _rejected(reject: float) -> Column:
-    return (F.col("found.lang_pred") == UNKNOWN) | (F.col("found.score") < reject)
+def _rejected(reject: float | None) -> Column:
+    return (F.col("found.lang_pred") == UNKNOWN) | (F.col("found.score") < (F.col("found.least") if reject is None else F.lit(reject)))
 
 
-def identify(docs: DataFrame, model: Model, reject: float = REJECT, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, score and rejected; an own column of one of these names is replaced."""
+def identify(docs: DataFrame, model: Model, reject: float | None = None, text_col: str = "text") -> DataFrame:
+    """``docs`` with lang_pred, score and rejected; an own column of one of these names is replaced.
+    ``reject`` puts one number in place of the floors."""
     kept = [F.col(f"row.`{c}`") for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
     return _found(docs, model, text_col).select(
         *kept, F.col("found.lang_pred").alias("lang_pred"), F.col("found.score").alias("score"), _rejected(reject).alias("rejected"))
 
 
-def keep_known(docs: DataFrame, model: Model, reject: float = REJECT, text_col: str = "text") -> DataFrame:
+def keep_known(docs: DataFrame, model: Model, reject: float | None = None, text_col: str = "text") -> DataFrame:
     """``docs``, all columns as they are, without the rows that are rejected."""
     return _found(docs, model, text_col).filter(~_rejected(reject)).select("row.*")

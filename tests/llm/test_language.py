@@ -47,3 +47,18 @@ def test_unlabelled_empty_and_clashing(spark, documents, clashing):
     assert kept.columns == docs.columns and [r.text for r in kept.collect()] == ["ka to ri"]
     assert language.identify(documents([]), model).count() == 0
     assert language.fit(spark.createDataFrame([], "text string, lang string")).names == []
+
+
+def test_long_texts_of_unlearnt_languages_are_rejected(spark, documents):
+    rng = random.Random(4)
+    model = language.fit(labelled(spark, rng, 120))
+    polish = "jest nie się że jak ale tylko jego może być już dla czy jeszcze bardzo kiedy wszystko człowiek dzień życie która rząd".split()
+    scripts = {"az": (97, 122), "greek": (0x3B1, 0x3C9), "cjk": (0x4E00, 0x9FA5)}
+
+    def foreign(kind, n):
+        return " ".join(rng.choice(polish) if kind == "pl" else "".join(chr(rng.randint(*scripts[kind])) for _ in range(rng.randint(2, 8))) for _ in range(n))
+
+    odd = [foreign(kind, n) for kind in ["pl", *scripts] for n in (20, 100, 400, 2000)]
+    own = [text(rng, lang, n) for lang in SOUNDS for n in (3, 20, 100, 400, 2000) for _ in range(10)]
+    found = [r.rejected for r in language.identify(documents(odd + own), model).orderBy("doc_id").collect()]
+    assert all(found[:len(odd)]) and not any(found[len(odd):])
