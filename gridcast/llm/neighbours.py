@@ -8,8 +8,8 @@ walks all trees through one priority queue, ordered by the smallest margin on th
 give the ranks. A leaf of many rows, or one sought by many queries, is dealt to several tasks.
 
 Null and zero vectors, and those with null or non-finite components, another length than most, or no id, take no part.
-Of equal vectors only the ``k + 1`` smallest ids can be among the nearest, and only these are indexed. Repeated rows count
-once. Fewer candidates than ``k`` give fewer rows; an empty table gives none.
+Of equal vectors only the ``k + 1`` smallest ids can be among the nearest, and only these are indexed. A repeated id
+counts once, with the smallest of its vectors. Fewer candidates than ``k`` give fewer rows; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridcast.llm.store import stored
+
 TREES = 24
 DEPTH = 7
 SHARE = 0.8
@@ -94,13 +96,14 @@ class Forest:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """Rows that take part: vec_id, embedding as doubles."""
+    """Rows that take part, one per id: vec_id, embedding as doubles."""
     values = F.col("embedding").cast("array<double>")
     finite = F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.filter(F.col("vec_id").isNotNull() & F.coalesce(finite & F.exists(values, lambda x: x != 0.0), F.lit(False)))
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), values.alias("embedding"))
-    common = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.filter(F.size("embedding") == (common["n"] if common else 0))
+    common = rows.groupBy(F.size("embedding").alias("n")).agg(F.countDistinct("vec_id").alias("count")).orderBy(F.desc("count"), "n").first()
+    rows = rows.filter(F.size("embedding") == (common["n"] if common else 0))
+    return stored(rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
 
 
 def dealt(ids: np.ndarray, n: int) -> np.ndarray:

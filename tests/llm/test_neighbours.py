@@ -55,3 +55,20 @@ def test_one_queue_for_all_trees():
     assert sorted(order) == [(t, n) for t in range(3) for n in range(16)]
     assert [t for t, _ in order[:16]] != sorted(t for t, _ in order[:16])
     assert np.allclose(forest.weights.sum(axis=1), 1)
+
+
+def test_repeated_ids_count_once(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, p, 0) for i, p in enumerate(rng.standard_normal((40, 4)).astype(np.float32).astype(float).tolist())]
+    rows += [(i, rows[3][1], 0) for i in range(40, 44)]
+
+    def found(held):
+        got = nb.nearest(frame(spark, held), F.col("vec_id") % 20 == 0, k=5).orderBy("query_id", "rank").collect()
+        return [(r.query_id, r["rank"], r.vec_id, r.score) for r in got]
+
+    once = found(rows)
+    assert len(once) == 15
+    # Many copies of one among equal vectors, of the nearest row of a query, and of every row.
+    assert found(rows + [rows[3]] * 30) == found(rows + [rows[once[0][2]]] * 30) == found(rows * 2) == once
+    # Of two vectors under one id the smaller counts.
+    assert found(rows + [(0, [9.0] * 4, 0)]) == once
