@@ -199,8 +199,7 @@ def _beside_the_mean(scored, mean, *by):
 def random_forest(spark, d):
     rows = c.train(spark, d).filter("zone = 'RF'").drop("test")
     keys = ["l_orderkey", "l_linenumber"]
-    # Not the learner's full depth: 100 trees that end in single rows take minutes on one machine, and fit noise here.
-    scored = trees.fit_forest(rows, TRAIN_FEATURES, "mw", keys, depth=10)
+    scored = trees.fit_forest(rows, TRAIN_FEATURES, "mw", keys, partitions=spark.sparkContext.defaultParallelism)
     mean = evaluate.random_split(rows, keys).filter("test = 0").agg(F.avg("mw")).scalar()
     return _beside_the_mean(scored, mean)
 

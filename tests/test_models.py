@@ -219,3 +219,24 @@ def test_zone_names_with_pattern_characters(spark, frame, tmp_path):
     model_store.save_tree_models(models, str(tmp_path / "m"))
     nodes = model_store.load_trees(spark, str(tmp_path / "m"), ["x"])
     assert {r["zone"] for r in nodes.select("zone").distinct().collect()} == {zone, "7"}
+
+
+def test_the_forest_query_grows_full_trees(spark, tmp_path, monkeypatch):
+    from gridcast.bindings import common, model_queries
+
+    rng = np.random.default_rng(4)
+    # An own level for each of 2,048 cells: trees of at most 1,024 leaves blur them, full ones do not.
+    level = rng.permutation(2048).astype(float)
+    rows = [(i, n, "RF", float(i % 16), float(i // 16 % 16), float(i // 256), 1, float(level[i]), 0) for i in range(2048) for n in range(6)]
+    table = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, zone string, quantity double, discount double, tax double, month int, mw double, test int")
+    fit, seen = trees.fit_forest, {}
+
+    def fewer_trees(*args, **options):
+        seen["scored"] = fit(*args, trees=5, **options)
+        return seen["scored"]
+
+    monkeypatch.setattr(common, "train", lambda spark, d: table)
+    monkeypatch.setattr(trees, "fit_forest", fewer_trees)
+    result = model_queries.random_forest(spark, str(tmp_path)).first()
+    own = seen["scored"].agg(F.avg(F.abs(F.col("mw") - F.col("prediction")))).first()[0]
+    assert result["near_mean"] and own < 0.2 * result["mean_error"]
