@@ -9,7 +9,7 @@ A floor is ``SLACK`` times a low quantile of the cosines of labelled texts, each
 scored by centroids of the other half of its language's texts. A class of less than ``LEAST`` such texts has the floor of the
 next shorter one; the shortest texts have ``REJECT``.
 
-The model is fitted on at most about ``SAMPLE`` labelled texts a language, chosen by a hash of their text; every text of
+The model is fitted on at most about ``SAMPLE`` different labelled texts a language, chosen by a hash of their text; every text of
 the table is scored, whole. A null language is not learnt from. Null texts and texts without a letter get ``und`` and
 score 0. Without any labelled text everything is ``und``.
 """
@@ -146,10 +146,11 @@ class Model:
 def fit(labelled: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> Model:
     """A model from rows (text, lang); rows without text or language are left out."""
     usable = labelled.filter("text is not null and lang is not null").select("text", "lang")
-    sizes = stored(usable.groupBy("lang").agg(F.count("*").alias("n")))
+    # Copies count once: hashes are counted, and each task hands on one copy of a chosen text.
+    sizes = stored(usable.select("lang", F.xxhash64("text").alias("one")).distinct().groupBy("lang").agg(F.count("*").alias("n")))
     sizes = F.broadcast(sizes) if few(sizes) else sizes
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    chosen = stored(usable.join(sizes, "lang").filter(place * F.col("n") <= sample * F.lit(1 << 30).cast("double")).select("lang", "text"))
+    chosen = stored(usable.join(sizes, "lang").filter(place * F.col("n") <= sample * F.lit(1 << 30).cast("double")).select("lang", "text").distinct())
 
     def frequencies(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen, n = np.zeros(BUCKETS, dtype=np.int64), 0

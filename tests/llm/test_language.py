@@ -62,3 +62,11 @@ def test_long_texts_of_unlearnt_languages_are_rejected(spark, documents):
     own = [text(rng, lang, n) for lang in SOUNDS for n in (3, 20, 100, 400, 2000) for _ in range(10)]
     found = [r.rejected for r in language.identify(documents(odd + own), model).orderBy("doc_id").collect()]
     assert all(found[:len(odd)]) and not any(found[len(odd):])
+
+
+def test_copies_count_once_in_the_sample(spark):
+    rng = random.Random(6)
+    frame = labelled(spark, rng, 30)
+    copies = [(r.text, r.lang) for r in frame.collect() for _ in range(1 + 400 * (rng.random() < 0.1))]
+    one, two = (language.fit(f, sample=20) for f in (frame, spark.createDataFrame(copies, "text string, lang string")))
+    assert one.names == two.names and (one.centroids == two.centroids).all() and (one.idf == two.idf).all() and (one.floors == two.floors).all()
