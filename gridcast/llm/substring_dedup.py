@@ -1,16 +1,16 @@
-"""Substring dedup by relative Lempel-Ziv parsing against blocks of earlier documents.
+"""Substring dedup by anchored window hashing against blocks of earlier documents.
 
 Every text is cut into words. Each window of ``size`` words belongs to the anchor inside it: the ``ANCHOR``-word run with the
 smallest hash. Equal windows have equal anchors, so a text falls into blocks, one per anchor, and two texts can share a
-window only in blocks of one anchor. These blocks, indexed by anchor, are the reference; a document is factored against those
+window only in blocks of one anchor. These blocks, indexed by anchor, are the reference; a document is compared with those
 of all documents with a smaller id:
 
-- a block that also stands whole in an earlier document is one factor, found by the block's hash;
+- a block that also stands whole in an earlier document is found by the block's hash;
 - the first document that has a block, if other blocks of the same anchor exist, is checked window by window, which also
-  settles the windows that lie across factor boundaries.
+  settles the windows that lie across block boundaries.
 
-Found pieces that touch make one factor, the longest from its start; all factors have at least ``size`` words, and their words are
-removed. Windows are judged on the input. A hot anchor is reduced to its distinct blocks before the shuffle, and windows
+This is no Lempel-Ziv parse. Found pieces that overlap or touch make one run, whichever earlier documents they come from; the runs are
+given as ``factors``, have at least ``size`` words, and their words are removed. Windows are judged on the input. A hot anchor is reduced to its distinct blocks before the shuffle, and windows
 are grouped by their own hash, so no task gathers all texts that share a passage. Hashes are two of 64 bits.
 
 White space is what separates words; null and empty texts have none. A null id is never smaller than another: such rows
@@ -148,7 +148,7 @@ def _emit_kept(size: int):
                 gone = np.zeros(len(words) + 1, dtype=np.int64)
                 found = []
                 if starts is not None:
-                    # Greedy parse: a factor goes on as long as the next window is found before it ends.
+                    # A run goes on as long as the next window is found before it ends.
                     for start, n in sorted(zip(starts, ns)):
                         end = int(start) + int(n) + size - 1
                         if found and start <= found[-1][1]:
