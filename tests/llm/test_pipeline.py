@@ -50,5 +50,5 @@ def test_stages(spark, tmp_path):
 
 def test_every_operator_has_its_query():
     names = set(queries.QUERIES)
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert set(queries.ORACLES) <= names and len(corpus_pipeline.STAGES) == 5
