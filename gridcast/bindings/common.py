@@ -102,10 +102,13 @@ def weather_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def landed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weather documents written as JSON lines and read back."""
+def landed_documents(spark: SparkSession, sf_dir: str, least_readings: int = 1) -> DataFrame:
+    """Weather documents written as JSON lines and read back. Hours of fewer readings have no pressure in them."""
     path = scratch_path(spark, "weather")
-    to_documents(weather_hourly(spark, sf_dir), F.lit("EST")).write.json(path)
+    hourly = weather_hourly(spark, sf_dir)
+    if least_readings > 1:
+        hourly = hourly.withColumn("surface_pressure", F.when(F.col("windspeed_10m") >= least_readings, F.col("surface_pressure")))
+    to_documents(hourly, F.lit("EST")).write.json(path)
     return spark.read.schema("zone string, date date, document string").json(path)
 
 
@@ -123,8 +126,8 @@ def zone_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readings(spark, sf_dir).select("zone", "date").distinct()
 
 
-def features(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    documents = landed_documents(spark, sf_dir)
+def features(spark: SparkSession, sf_dir: str, least_readings: int = 1, **options) -> DataFrame:
+    documents = landed_documents(spark, sf_dir, least_readings)
     found = weather_rows(explode_documents(documents))
     return day_ahead.feature_frame(documents, F.col("date").cast("timestamp_ntz"), found, **options)
 

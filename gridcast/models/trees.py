@@ -2,8 +2,8 @@
 
 Training uses the distributed learners of ``pyspark.ml``. Scoring takes trees as rows (one per node:
 zone, tree, node, feature, threshold, left, right, missing_left, value, weight); a leaf has no feature.
-``score_trees`` sends the node table to the tasks and leaves the scored rows where they are; ``score_trees_grouped``,
-for node tables too large for that, brings rows and trees together in bounded groups. The caller chooses.
+``score_trees`` sends the node table to the tasks and leaves the scored rows where they are, as long as it has no more than
+``MAX_NODES`` rows; beyond that ``score_trees_grouped`` brings rows and trees together in bounded groups.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from gridcast.session import materialize, scratch_path
 
 
 WRITERS = 8
+MAX_NODES = 500_000
 
 
 def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -109,10 +110,13 @@ def score_trees(
     df: DataFrame, nodes: DataFrame, features: Sequence[str], out: str = "prediction",
     inclusive: bool = True,
 ) -> DataFrame:
-    """Sum of weighted leaves of the zone's trees, for a node table that fits into every task. A missing feature follows
-    the node's default branch; ``inclusive`` says whether a value equal to the threshold goes left. Zones without trees
-    get null."""
-    scored = _score_with_copies(_with_numbers(df, features), nodes, list(features), out, inclusive)
+    """Sum of weighted leaves of the zone's trees. A missing feature follows the node's default branch; ``inclusive`` says
+    whether a value equal to the threshold goes left. Zones without trees get null. Up to ``MAX_NODES`` nodes go to every task;
+    of a larger table so many are read, and rows and trees then meet in groups."""
+    small = nodes.limit(MAX_NODES + 1).toPandas()
+    if len(small) > MAX_NODES:
+        return score_trees_grouped(df, nodes, features, out, inclusive)
+    scored = _score_with_copies(_with_numbers(df, features), small, list(features), out, inclusive)
     return scored.drop(*[f"__{c}" for c in features])
 
 
@@ -129,8 +133,7 @@ def _with_numbers(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.withColumns({f"__{c}": F.col(c).cast("double") for c in features})
 
 
-def _score_with_copies(df: DataFrame, nodes: DataFrame, features: list[str], out: str, inclusive: bool) -> DataFrame:
-    small = nodes.toPandas()
+def _score_with_copies(df: DataFrame, small: pd.DataFrame, features: list[str], out: str, inclusive: bool) -> DataFrame:
     forests = df.sparkSession.sparkContext.broadcast(
         {zone: _tree_arrays(part, features) for zone, part in small.groupby("zone")}
     )
