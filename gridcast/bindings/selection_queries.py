@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gridcast.bindings import common as c
 from gridcast.bindings.common import query, sql
-from gridcast.operators import joins, peaks, profile
+from gridcast.operators import joins, nearest, peaks, profile
 from gridcast.operators import selection as sel
 
 _IN = c.sql_list(c.SELECTED)
@@ -187,7 +187,7 @@ def click_to_toggle(spark, d):
         "vec_id", "label", F.get("embedding", F.lit(0)).cast("double").alias("lat"), F.get("embedding", F.lit(1)).cast("double").alias("long"))
     sites = points.groupBy("label").agg(F.round(F.avg("lat"), 6).alias("lat"), F.round(F.avg("long"), 6).alias("long")).select(
         F.col("label").alias("site_order"), F.col("label").cast("string").alias("zone"), "lat", "long")
-    clicks = joins.nearest_zone(points.select("vec_id", "lat", "long"), sites, "vec_id")
+    clicks = nearest.nearest_zone(points.select("vec_id", "lat", "long"), sites, "vec_id")
     return sel.toggle_selection(sites.filter(F.col("zone").isin("1", "2", "3")), clicks)
 
 

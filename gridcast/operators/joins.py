@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridcast.functions.display import ratio
-from gridcast.session import materialize
 
 
 def calendar_weather(calendar: DataFrame, weather: DataFrame, on: Sequence[str] = ("zone", "datetime")) -> DataFrame:
@@ -59,47 +58,6 @@ def zone_hours(zones: DataFrame, start: Column, hours: int = 24) -> DataFrame:
     return zones.withColumn("datetime", F.explode(F.sequence(start, last, F.expr("INTERVAL '1' HOUR"))))
 
 
-def nearest_zone(points: DataFrame, sites: DataFrame, point_id: str, max_sites: int = 4096) -> DataFrame:
-    """Zone with the least |d lat| + |d long| for each point; the lower ``site_order`` wins a tie.
-
-    Sites travel as array values, points never move. Sites are cut into parts of at most ``max_sites``, one part if they
-    are few; each part is compared in turn with the best site found so far. Sites without a coordinate take no part;
-    a point without one has no zone.
-    """
-    sites = sites.filter(F.col("lat").isNotNull() & F.col("long").isNotNull() & ~F.isnan("lat") & ~F.isnan("long"))
-    first_here = F.min(F.struct(F.col("site_order").cast("long").alias("site_order"), "zone"))
-    compact = sites.groupBy("lat", "long").agg(first_here.alias("site")).select("lat", "long", "site.*")
-    compact = materialize(compact, "sites")
-    parts = _bounded_parts(compact, max(1, -(-compact.count() // max_sites)), max_sites)
-    best = points.withColumn("best", F.lit(None).cast("struct<distance:double,site_order:bigint,zone:string>"))
-    for part in parts:
-        listed = part.agg(F.collect_list(F.struct("lat", "long", "site_order", "zone")).alias("sites"))
-        best = best.withColumn("sites", listed.scalar())
-        candidates = F.transform(
-            "sites",
-            lambda s: F.struct(
-                (F.abs(F.col("lat") - s["lat"]) + F.abs(F.col("long") - s["long"])).alias("distance"),
-                s["site_order"].alias("site_order"),
-                s["zone"].alias("zone"),
-            ),
-        )
-        best = best.withColumn("best", F.least(F.col("best"), F.array_min(candidates)))
-    placed = F.col("lat").isNotNull() & F.col("long").isNotNull() & ~F.isnan("lat") & ~F.isnan("long")
-    return best.select(
-        point_id, F.when(placed, F.col("best.zone")).alias("zone"), F.when(placed, F.col("best.distance")).alias("distance")
-    )
-
-
-def _bounded_parts(sites: DataFrame, n_parts: int, max_sites: int) -> list[DataFrame]:
-    """Hash parts of the sites, doubled until the largest part fits the bound."""
-    while True:
-        part_of = F.pmod(F.xxhash64("lat", "long"), F.lit(n_parts))
-        largest = sites.groupBy(part_of.alias("part")).count().agg(F.max("count")).first()[0]
-        if (largest or 0) <= max_sites:
-            return [sites.filter(part_of == i) for i in range(n_parts)]
-        n_parts *= 2
-
-
 def relationship_star(dim: DataFrame, hourly: DataFrame, system: DataFrame, peaks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Zones with their hours, the system row of each hour and the zone's peak row.
 

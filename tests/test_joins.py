@@ -1,4 +1,3 @@
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,22 +42,6 @@ def test_every_zone_gets_every_hour(frame):
     assert {(r["zone"], str(r["datetime"].date())) for r in rows} == {("AE", "2022-11-16"), ("AP", "2022-11-17")}
 
 
-@pytest.mark.parametrize("max_sites", [4096, 7])
-def test_nearest_zone_against_brute_force(frame, max_sites):
-    rng = np.random.default_rng(1)
-    sites = [(i, f"z{i}", float(a), float(b)) for i, (a, b) in enumerate(rng.integers(0, 12, (60, 2)))]
-    points = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.integers(0, 12, (200, 2)))]
-    got = joins.nearest_zone(
-        frame(points, "id int, lat double, long double"),
-        frame(sites, "site_order int, zone string, lat double, long double"), "id", max_sites=max_sites,
-    ).collect()
-    for r in got:
-        _, lat, long = points[r["id"]]
-        want = min(((abs(lat - a) + abs(long - b)), i, z) for i, z, a, b in sites)
-        assert (r["distance"], r["zone"]) == (want[0], want[2])
-    assert len(got) == 200
-
-
 def test_star_does_not_repeat_peaks(frame):
     dim = frame([("AE", "Atlantic")], "zone string, full_zone_name string")
     hourly = frame([("AE", h, 1.0) for h in range(3)], "zone string, hour int, hourly_mw double")
@@ -76,15 +59,6 @@ def test_calendar_keeps_hours_without_weather(frame):
     assert got == {1: 50.0, 2: None}
 
 
-def test_nearest_zone_without_coordinates(frame):
-    sites = frame([(0, "A", None, 1.0), (1, "B", 0.0, 0.0), (2, "C", float("nan"), 0.0)], "site_order int, zone string, lat double, long double")
-    points = frame([(1, 0.0, 1.0), (2, None, 1.0)], "id int, lat double, long double")
-    got = {r["id"]: (r["zone"], r["distance"]) for r in joins.nearest_zone(points, sites, "id").collect()}
-    assert got == {1: ("B", 1.0), 2: (None, None)}
-    none = joins.nearest_zone(points, sites.filter("false"), "id")
-    assert {(r["id"], r["zone"]) for r in none.collect()} == {(1, None), (2, None)}
-
-
 def test_star_keeps_zones_without_hours(frame):
     dim = frame([("A",), ("B",)], "zone string")
     facts = frame([("A", 1), ("X", 2)], "zone string, v int")
