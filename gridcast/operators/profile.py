@@ -10,6 +10,14 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridcast.session import materialize
+
+QUARTILES = (0.25, 0.5, 0.75)
+#: Of the sketches: ranks are right to one part in so many, and brackets are three of these parts wide to either side.
+ACCURACY = 10_000
+BRACKET = 3 / ACCURACY
+COLLECTED = 50_000
+
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
@@ -132,9 +140,9 @@ def _kind(kind: T.DataType) -> str:
 
 
 def summary_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Count, mean, standard deviation, extremes and exact quartiles of numeric columns."""
-    moments = _moments(df, columns)
-    quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75], moments=moments)
+    """Count, mean, standard deviation, extremes and exact quartiles of numeric columns, from two reads."""
+    moments = _moments(df, columns, QUARTILES)
+    quartiles = exact_quantiles(df, columns, QUARTILES, moments=moments)
     rows = [
         (c, m["count"], m["mean"], m["std"], m["min"], *[quartiles.get((c, p)) for p in (0.25, 0.5, 0.75)], m["max"])
         for c, m in moments.items()
@@ -157,11 +165,13 @@ def _present(df: DataFrame, column: str) -> Column:
     return F.when(~F.isnan(v), v)
 
 
-def _moments(df: DataFrame, columns: Sequence[str]) -> dict[str, Row]:
-    """One result row per column, from one pass."""
+def _moments(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float] = ()) -> dict[str, Row]:
+    """One result row per column, from one pass; near each probability also two values of a sketch, between which its quantile
+    is expected."""
+    near = [F.lit(min(1.0, max(0.0, p + side * BRACKET))) for p in probabilities for side in (-1, 1)]
     row = df.agg(*[
-        F.struct(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-                 F.min(v).alias("min"), F.max(v).alias("max")).alias(c)
+        F.struct(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
+                 *[F.percentile_approx(v, F.array(*near), ACCURACY).alias("near") for _ in near[:1]]).alias(c)
         for c in columns for v in [_present(df, c)]
     ]).first()
     return {c: row[c] for c in columns}
@@ -171,40 +181,115 @@ def exact_quantiles(
     df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], bins: int = 8192,
     moments: dict[str, Row] | None = None,
 ) -> dict[tuple[str, float], float]:
-    """Exact quantiles with linear interpolation, without sorting or gathering rows.
+    """Exact quantiles with linear interpolation, without sorting or gathering rows, from two reads of ``df``.
 
-    Each pass counts values in ``bins`` equal parts of an interval and goes on with the part that holds
-    the wanted rank, until that part is a single value. A pass shuffles only bin counts, and the driver
-    sees at most ``bins`` of them per wanted rank.
+    Sketches of the first pass give a narrow bracket for every wanted rank. The second pass counts what lies outside the brackets,
+    and inside them every value: about one row in a thousand. These counts, which are written, hold the answer. A rank that is
+    not in its bracket after all, and columns with infinite values, are found by narrowing an interval pass by pass; the driver sees
+    at most ``COLLECTED`` values, or ``bins`` counts per rank.
     """
-    ends = {c: m for c, m in (moments or _moments(df, columns)).items() if m["count"]}
-    # Infinite values have their ranks at the two ends and are counted apart; the search is among the others.
-    infinite = {c for c, m in ends.items() if math.isinf(m["min"]) or math.isinf(m["max"])}
-    finite = _finite(df, sorted(infinite)) if infinite else {}
+    moments = moments or _moments(df, columns, probabilities)
+    ends = {c: m for c, m in moments.items() if m["count"]}
     wanted = {}
     for c, m in ends.items():
         for p in probabilities:
             place = (m["count"] - 1) * p
             wanted[c, p] = (int(place), min(int(place) + 1, m["count"] - 1), place - int(place))
-    # (column, rank) -> (low end, high end, values below the low end)
-    found: dict[tuple[str, int], float] = {}
-    open_ranks = {}
-    for (c, _), (a, b, _) in wanted.items():
-        for k in (a, b):
-            below, n, low, high = finite.get(c) or (0, ends[c]["count"], ends[c]["min"], ends[c]["max"])
-            if k < below:
-                found[c, k] = -math.inf
-            elif k >= below + n:
-                found[c, k] = math.inf
+    ranks = {(c, k) for (c, _), (a, b, _) in wanted.items() for k in (a, b)}
+    # Infinite values have their ranks at the two ends and are counted apart; the search is among the others.
+    infinite = {c for c, m in ends.items() if math.isinf(m["min"]) or math.isinf(m["max"])}
+    found = _in_brackets(df, {c: m for c, m in ends.items() if c not in infinite and "near" in m}, ranks, bins)
+    open_ranks, finite = {}, _finite(df, sorted(infinite)) if infinite else {}
+    for c, k in ranks - found.keys():
+        below, n, low, high = finite.get(c) or (0, ends[c]["count"], ends[c]["min"], ends[c]["max"])
+        if k < below:
+            found[c, k] = -math.inf
+        elif k >= below + n:
+            found[c, k] = math.inf
+        else:
+            open_ranks[c, k] = (low, high, below)
+    if open_ranks:
+        found |= _narrowed(_values(df, sorted({c for c, _ in open_ranks})), open_ranks, bins)
+
+    def between(low: float, high: float, share: float) -> float:
+        if low == high or share == 0:
+            return low
+        return low * (1 - share) + high * share if math.isinf(low) or math.isinf(high - low) else low + (high - low) * share
+
+    return {key: between(found[key[0], a], found[key[0], b], share) for key, (a, b, share) in wanted.items()}
+
+
+def _values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """column, v, n: every value once."""
+    return df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), _present(df, c).alias("v"), F.lit(1).cast("long").alias("n")) for c in columns])))
+
+
+def _in_brackets(df: DataFrame, ends: dict[str, Row], ranks: set[tuple[str, int]], bins: int) -> dict[tuple[str, int], float]:
+    """The values at those ranks that lie in the brackets of their column, from one read."""
+    if not ends:
+        return {}
+    brackets: dict[str, list[list[float]]] = {}
+    for c, m in ends.items():
+        merged: list[list[float]] = []
+        for low, high in sorted(zip(m["near"][::2], m["near"][1::2])):
+            if merged and low <= merged[-1][1]:
+                merged[-1][1] = max(high, merged[-1][1])
             else:
-                open_ranks[c, k] = (low, high, below)
+                merged.append([low, high])
+        brackets[c] = merged
+    # Zones of a column in order: odd ones are brackets, in which the value itself is counted.
+    entries = []
+    for c, merged in brackets.items():
+        v = _present(df, c)
+        zone, inside = F.lit(2 * len(merged)), F.lit(False)
+        for j, (low, high) in reversed(list(enumerate(merged))):
+            zone = F.when(v < low, 2 * j).when(v <= high, 2 * j + 1).otherwise(zone)
+            inside = inside | v.between(low, high)
+        entries.append(F.struct(F.lit(c).alias("column"), F.when(v.isNotNull(), zone).alias("zone"), F.when(inside, v).alias("v")))
+    rows = df.select(F.inline(F.array(*entries))).filter("zone IS NOT NULL")
+    counted = materialize(rows.groupBy("column", "zone", "v").agg(F.count(F.lit(1)).alias("n")), "counts")
+    sizes: dict[str, dict[int, int]] = {c: {} for c in brackets}
+    for r in counted.groupBy("column", "zone").agg(F.sum("n").alias("n")).collect():
+        sizes[r["column"]][r["zone"]] = r["n"]
+    places: dict[tuple[str, int], tuple[int, int]] = {}
+    for c, k in ranks & {(c, k) for c, k in ranks if c in brackets}:
+        below = 0
+        for zone in range(2 * len(brackets[c]) + 1):
+            n = sizes[c].get(zone, 0)
+            if k < below + n:
+                if zone % 2:
+                    places[c, k] = (zone, below)
+                break
+            below += n
+    values = counted.filter("v IS NOT NULL")
+    held = values.limit(COLLECTED + 1).collect()
+    if len(held) > COLLECTED:
+        return _narrowed(values, {(c, k): (*brackets[c][zone // 2], below) for (c, k), (zone, below) in places.items()}, bins)
+    found = {}
+    for (c, k), (zone, below) in places.items():
+        for v, n in sorted((r["v"], r["n"]) for r in held if (r["column"], r["zone"]) == (c, zone)):
+            below += n
+            if k < below:
+                found[c, k] = v
+                break
+    return found
+
+
+def _narrowed(values: DataFrame, open_ranks: dict[tuple[str, int], tuple[float, float, int]], bins: int) -> dict[tuple[str, int], float]:
+    """The value at each (column, rank) among rows (column, v, n), known to lie in (low end, high end, values below the low end).
+
+    Each pass counts values in ``bins`` equal parts of an interval and goes on with the part that holds the wanted rank, until that part is a single
+    value. A pass shuffles only bin counts."""
+    found = {}
+    open_ranks = dict(open_ranks)
     while open_ranks:
         for key, (lo, hi, _) in list(open_ranks.items()):
             if lo == hi:
                 found[key] = lo
                 del open_ranks[key]
         if open_ranks:
-            counted = _count_parts(df, {(c, lo, hi) for (c, _), (lo, hi, _) in open_ranks.items()}, bins)
+            counted = _count_parts(values, {(c, lo, hi) for (c, _), (lo, hi, _) in open_ranks.items()}, bins)
             for (c, k), (lo, hi, below) in open_ranks.items():
                 for part in counted[c, lo, hi]:
                     if k < below + part["n"]:
@@ -213,13 +298,7 @@ def exact_quantiles(
                         open_ranks[c, k] = (part["first"], part["last"], below)
                         break
                     below += part["n"]
-
-    def between(low: float, high: float, share: float) -> float:
-        if low == high or share == 0:
-            return low
-        return low * (1 - share) + high * share if math.isinf(low) or math.isinf(high - low) else low + (high - low) * share
-
-    return {key: between(found[key[0], a], found[key[0], b], share) for key, (a, b, share) in wanted.items()}
+    return found
 
 
 def _finite(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[int, int, float, float]]:
@@ -233,19 +312,16 @@ def _finite(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[int, int,
     return {c: tuple(row[c]) for c in columns}
 
 
-def _count_parts(df: DataFrame, intervals: set[tuple[str, float, float]], bins: int) -> dict[tuple, list[Row]]:
+def _count_parts(values: DataFrame, intervals: set[tuple[str, float, float]], bins: int) -> dict[tuple, list[Row]]:
     """For each interval its non-empty parts in order, with count, smallest and largest value."""
-    table = df.sparkSession.createDataFrame(sorted(intervals), "column string, lo double, hi double")
-    values = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), _present(df, c).alias("v")) for c in sorted({c for c, _, _ in intervals})
-    ])))
+    table = values.sparkSession.createDataFrame(sorted(intervals), "column string, lo double, hi double")
     lo, hi = F.col("lo"), F.col("hi")
     # Halved first: the distance of two large values may be more than a double holds.
     part = F.least(F.floor((F.col("v") / 2 - lo / 2) / (hi / 2 - lo / 2) * bins), F.lit(bins - 1))
     rows = (
         values.join(table, "column").filter(F.col("v").between(lo, hi))
         .groupBy("column", "lo", "hi", part.alias("part"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("first"), F.max("v").alias("last"))
+        .agg(F.sum("n").alias("n"), F.min("v").alias("first"), F.max("v").alias("last"))
         .collect()
     )
     found: dict[tuple, list[Row]] = {interval: [] for interval in intervals}

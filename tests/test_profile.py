@@ -116,3 +116,30 @@ def test_quantiles_of_infinite_and_very_large_values(frame):
 def test_exact_distinct_counts_values(frame):
     df = frame([(0.0, bytearray(b"\xff")), (-0.0, bytearray(b"\xfe")), (1.0, bytearray(b"\xff"))], "x double, b binary")
     assert {r["column"]: r["distinct_values"] for r in profile.column_profile(df, exact=True).collect()} == {"x": 2, "b": 2}
+
+
+def test_quantiles_take_two_reads(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(5)
+    values = np.concatenate([rng.normal(size=20_000), np.full(9_000, 0.25), rng.exponential(100, 5_000)])
+    spark.createDataFrame([(float(v), int(i % 7)) for i, v in enumerate(values)], "x double, y int").write.parquet(f"{tmp_path}/in")
+    df = spark.read.parquet(f"{tmp_path}/in")
+    shares = [0.0, 0.01, 0.25, 0.5, 0.5001, 0.99, 1.0]
+    counted = []
+    narrowed = profile._narrowed
+    monkeypatch.setattr(profile, "_narrowed", lambda frame, *rest: counted.append(frame) or narrowed(frame, *rest))
+    want = {("x", p): np.quantile(values, p) for p in shares} | {("y", p): np.quantile(np.arange(len(values)) % 7, p) for p in shares}
+    for collected in (50_000, 3):
+        monkeypatch.setattr(profile, "COLLECTED", collected)
+        got = profile.exact_quantiles(df, ["x", "y"], shares)
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-12, abs=1e-12) for k in want)
+    # Nothing was narrowed on the input; the second time, on the counts of the brackets.
+    assert len(counted) == 1 and all("counts-" in f for f in counted[0].inputFiles())
+
+
+def test_a_wrong_bracket_costs_a_pass_but_no_digit(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(1000)], "x double")
+    moments = profile._moments(df, ["x"], [0.5])
+    from pyspark.sql import Row
+
+    wrong = {"x": Row(**(moments["x"].asDict() | {"near": [10.0, 20.0]}))}
+    assert profile.exact_quantiles(df, ["x"], [0.5], moments=wrong) == {("x", 0.5): 499.5}
