@@ -12,8 +12,8 @@ from gridcast.functions.calendar import dow_number
 from gridcast.models import evaluate, linear, response, trees
 from gridcast.models.dispatch import ModelRegistry
 from gridcast.operators.windows import lag_features
-from gridcast.session import scratch_path
-from gridcast.sources import model_store
+from gridcast.session import materialize, scratch_path
+from gridcast.sources import model_store, moment_store
 
 # ------------------------------------------------------------------ SQL parts
 
@@ -94,6 +94,46 @@ def per_zone_lag_fit(spark, d):
     return _explode_models(linear.fit(lag_features(c.stored_hourly(spark, d)), _LAG_FEATURES))
 
 
+# The reference's own widths: eight features with two flags, ten with the lags. The month does not vary in these tables; the weekday does.
+_WIDE_FEATURES = ["dow_num", "temp", "precip", "rh", "pressure", "windspeed", "rain", "snow"]
+_WIDE = {"wide": """
+    SELECT l.zone, l.ds, l.date, isodow(l.ds) AS dow_num, w.temp, w.precip, w.rh, w.pressure, w.windspeed, CAST(w.rain AS INTEGER) AS rain,
+           CAST(w.snow AS INTEGER) AS snow, l.mw FROM load_hourly l JOIN weather w ON l.zone = w.zone AND l.ds = w.datetime"""}
+_WIDE_LAG_FEATURES = [*_WIDE_FEATURES, "previous_temp", "previous_mw"]
+_WIDE_LAGGED = {**_WIDE, "wide_lagged": """
+    SELECT * FROM (SELECT *, lag(mw, 48) OVER w AS previous_mw, lag(temp, 24) OVER w AS previous_temp
+    FROM wide WINDOW w AS (PARTITION BY zone ORDER BY ds)) WHERE previous_mw IS NOT NULL"""}
+
+
+def _wide(spark, d):
+    weather = c.weather(spark, d).withColumnRenamed("datetime", "ds")
+    rows = c.load_hourly(spark, d).select("zone", "ds", "date", "mw").join(weather, ["zone", "ds"])
+    return materialize(rows.withColumn("dow_num", dow_number(F.col("date"))), "wide")
+
+
+@query("per_zone_linear_fit_wide", sql(_coefficient_rows(_WIDE_FEATURES), "load_hourly", "weather", extra={**_WIDE, **_linear_views("wide", _WIDE_FEATURES)}))
+def per_zone_linear_fit_wide(spark, d):
+    """Least squares on eight features, two of them flags."""
+    return _explode_models(linear.fit(_wide(spark, d), _WIDE_FEATURES))
+
+
+@query("per_zone_lag_fit_wide", sql(_coefficient_rows(_WIDE_LAG_FEATURES), "load_hourly", "weather", extra={
+    **_WIDE_LAGGED, **_linear_views("wide_lagged", _WIDE_LAG_FEATURES)}))
+def per_zone_lag_fit_wide(spark, d):
+    """The same with the load of two days and the temperature of one day before: ten features."""
+    return _explode_models(linear.fit(lag_features(_wide(spark, d)), _WIDE_LAG_FEATURES))
+
+
+@query("per_zone_fit_by_days", sql(_coefficient_rows(_WIDE_FEATURES), "load_hourly", "weather", extra={**_WIDE, **_linear_views("wide", _WIDE_FEATURES)}))
+def per_zone_fit_by_days(spark, d):
+    """Least squares from moments stored per day; the second half of the days comes after the first."""
+    rows, path = _wide(spark, d), scratch_path(spark, "moments")
+    late = F.dayofmonth("date") > 15
+    for part in (rows.filter(~late), rows.filter(late)):
+        moment_store.write_days(part, path, _WIDE_FEATURES)
+    return _explode_models(moment_store.fit_days(spark, path, _WIDE_FEATURES))
+
+
 _LAG_SPLIT = {**_LAGGED, **_linear_views("lagged", _LAG_FEATURES, "ds < TIMESTAMP '2024-01-24'"), "scored": f"""
     SELECT t.*, {_prediction(_LAG_FEATURES)} AS prediction FROM lagged t LEFT JOIN models m ON t.zone = m.zone WHERE t.ds >= TIMESTAMP '2024-01-24'"""}
 

@@ -1,7 +1,8 @@
 """Least squares per zone from sufficient statistics.
 
 Rows are reduced to a p x p table of central moments per zone by built-in aggregates with a map-side
-combine; only these small rows reach the solver.
+combine; only these small rows reach the solver. Moments can be kept per day and merged, so that a fit takes a new day
+without reading the old ones (:mod:`gridcast.sources.moment_store`).
 """
 
 from __future__ import annotations
@@ -31,13 +32,13 @@ def _sum_of(columns: list[Column]) -> Column:
     return total
 
 
-def moments(df: DataFrame, features: Sequence[str], target: str, key: str = "zone") -> DataFrame:
-    """Means and population covariances of features and target per zone, over complete rows."""
+def moments(df: DataFrame, features: Sequence[str], target: str, key: str = "zone", by: Sequence[str] = ()) -> DataFrame:
+    """Means and population covariances of features and target per zone (and ``by``), over complete rows."""
     complete = df.na.drop("any", subset=[*features, target]).select(
-        key, *[F.col(c).cast("double").alias(c) for c in (*features, target)]
+        key, *by, *[F.col(c).cast("double").alias(c) for c in (*features, target)]
     )
     pairs = list(combinations_with_replacement(features, 2))
-    return complete.groupBy(key).agg(
+    return complete.groupBy(key, *by).agg(
         F.count(F.lit(1)).alias("n"),
         F.array(*[F.avg(c) for c in (*features, target)]).alias("means"),
         F.array(*[F.covar_pop(a, b) for a, b in pairs]).alias("xx"),
@@ -45,9 +46,34 @@ def moments(df: DataFrame, features: Sequence[str], target: str, key: str = "zon
     )
 
 
+def merge_moments(parts: DataFrame, n_features: int, key: str = "zone") -> DataFrame:
+    """The moments of all rows of a zone from those of its parts, whatever parts they are.
+
+    The means come first; each part then adds its own covariances and the product of its means' distances from
+    the whole, which are differences of like numbers: an offset of any size costs no digits."""
+    p = n_features
+    whole = parts.groupBy(key).agg(F.expr("sum(n) AS all_n"), F.array(*[F.expr(f"sum(n * means[{i}]) / sum(n)") for i in range(p + 1)]).alias("centre"))
+    away = [f"(means[{i}] - centre[{i}])" for i in range(p + 1)]
+    pairs = list(combinations_with_replacement(range(p), 2))
+
+    def pooled(name: str, k: int, i: int, j: int):
+        return F.expr(f"sum(n * ({name}[{k}] + {away[i]} * {away[j]})) / first(all_n)")
+
+    return parts.join(whole, key).groupBy(key).agg(
+        F.expr("first(all_n) AS n"), F.expr("first(centre) AS means"),
+        F.array(*[pooled("xx", k, i, j) for k, (i, j) in enumerate(pairs)]).alias("xx"),
+        F.array(*[pooled("xy", i, i, p) for i in range(p)]).alias("xy"),
+    )
+
+
 def fit(df: DataFrame, features: Sequence[str], target: str = "mw") -> DataFrame:
     """One model per zone. A feature that does not vary, or is a combination of others, gets the
     minimum-norm solution instead of failing."""
+    return fit_moments(moments(df, features, target), features)
+
+
+def fit_moments(sums: DataFrame, features: Sequence[str]) -> DataFrame:
+    """The same from the moments of :func:`moments` or :func:`merge_moments`."""
     features = list(features)
     p = len(features)
     upper = np.triu_indices(p)
@@ -66,7 +92,7 @@ def fit(df: DataFrame, features: Sequence[str], target: str = "mw") -> DataFrame
                 rows.append((r.zone, r.n, features, beta.tolist(), float(means[p] - means[:p] @ beta)))
             yield pd.DataFrame(rows, columns=COEFFICIENTS.names)
 
-    return moments(df, features, target).mapInPandas(solve, COEFFICIENTS)
+    return sums.mapInPandas(solve, COEFFICIENTS)
 
 
 def predict(df: DataFrame, models: DataFrame, features: Sequence[str], out: str = "prediction") -> DataFrame:
