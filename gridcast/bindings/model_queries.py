@@ -346,3 +346,18 @@ def first_order_response_fit(spark, d):
 def second_order_response_fit(spark, d):
     fitted = response.second_order(c.stored_hourly(spark, d).select("zone", "ds", "mw", "temp"), u="temp", y="mw")
     return c.rounded(c.rounded(c.filled(fitted, -1.0, "k", "wn", "zeta"), 6, "a1", "a2", "b1", "b2", "wn", "zeta"), 4, "k")
+
+
+@query("response_around_a_point", sql("""
+    SELECT zone, n, round(a, 6) AS a, round(b, 6) AS b, round(my - a * m0 - b * m1, 4) AS "offset",
+           round(coalesce(CASE WHEN a > 0 AND a < 1 THEN b / (1 - a) END, -1), 4) AS k, round(coalesce(CASE WHEN a > 0 AND a < 1 THEN -1 / ln(a) END, -1), 6) AS tau
+    FROM (SELECT zone, n, my, m0, m1, m_0_2 AS a, m_1_2 AS b FROM step1)""", "load_hourly", extra={
+        "lagged": f"SELECT * FROM (SELECT zone, mw, lag(mw) OVER w AS x0, lag(temp) OVER w AS x1 FROM load_hourly WINDOW w AS ({_PAIRS})) WHERE x0 IS NOT NULL",
+        "sums": "SELECT zone, count(*) AS n, avg(mw) AS my, avg(x0) AS m0, avg(x1) AS m1, " + ", ".join(
+            [f"covar_pop(x{i}, x{j}) AS m_{i}_{j}" for i, j in product(range(2), range(2))] + [f"covar_pop(x{i}, mw) AS m_{i}_2" for i in range(2)]) + " FROM lagged GROUP BY zone",
+        **eliminate("sums", ["zone", "n", "my", "m0", "m1"], 2, 3)}))
+def response_around_a_point(spark, d):
+    """The first-order response with a constant, which an offset of load or temperature does not change."""
+    fitted = response.centred(c.stored_hourly(spark, d).select("zone", "ds", "mw", "temp"), u="temp", y="mw")
+    shown = c.filled(fitted, -1.0, "k", "tau").select("zone", "n", F.col("a")[0].alias("a"), F.col("b")[0].alias("b"), "offset", "k", "tau")
+    return c.rounded(c.rounded(shown, 6, "a", "b", "tau"), 4, "offset", "k")
