@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridcast import schemas
 from gridcast.bindings import common as c
 from gridcast.bindings.common import query, sql
 from gridcast.operators import joins, nearest, peaks
 from gridcast.plans.day_ahead import hourly_table, peak_table, system_table
+from gridcast.session import scratch_path
+from gridcast.sources import delimited
 
 
 @query("calendar_weather_left", sql("""
@@ -112,6 +115,19 @@ def zone_lookup_first(spark, d):
     return joins.zone_lookup(zones, lookup, F.col("event_id"), "first_value", "first_user")
 
 
+@query("zone_lookup_file_order", sql("""
+    SELECT d.zone, arg_min(e.value, e.event_id) AS first_value, arg_min(e.user_id, e.event_id) AS first_user
+    FROM zone_dim d LEFT JOIN events e ON d.zone = e.event_type GROUP BY d.zone""", "zone_dim"))
+def zone_lookup_file_order(spark, d):
+    """The first row of a zone as it stands in text files that hold no number to order by."""
+    path = scratch_path(spark, "lookup")
+    ordered = c.table(spark, d, "events").sort("event_id")
+    delimited.write_delimited(ordered.selectExpr("event_type AS zone", "value AS first_value", "user_id AS first_user"), path)
+    lookup = joins.in_file_order(delimited.read_delimited(spark, path, schemas.LOOKUP))
+    zones = c.forecast_parts(spark, d)[1].select("zone")
+    return joins.zone_lookup(zones, lookup, F.col("position"), "first_value", "first_user")
+
+
 @query("zone_hour_cross", sql("SELECT zone, CAST(datetime AS VARCHAR) AS datetime FROM spine", "spine"))
 def zone_hour_cross(spark, d):
     return c.as_text(c.hours_of(c.zone_days(spark, d)), "datetime")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gridcast.bindings import common as c
 from gridcast.bindings.common import query, sql
 from gridcast.operators import profile
+from gridcast.session import materialize
 
 _PROFILED = ["temp", "rh", "precip", "pressure", "windspeed", "rain", "snow"]
 _NUMBERS = ["quantity", "mw", "discount", "tax", "month"]
@@ -64,3 +65,19 @@ def column_profile(spark, d):
         CAST(max({x}) AS DOUBLE) AS max FROM train""" for x in ["quantity", "mw", "discount", "month"]), "train"))
 def summary_stats(spark, d):
     return c.rounded(profile.summary_stats(c.train(spark, d), ["quantity", "mw", "discount", "month"]), 4, "mean", "std", "q25", "q50", "q75")
+
+
+_SKETCHED = ["zone", "hour", "k", "rounded"]
+
+
+@query("range_profile", sql(" UNION ALL ".join(f"""
+    SELECT '{x}' AS "column", count(*) AS rows, count(*) - count({x}) AS nulls, count(DISTINCT {x}) AS distinct_values FROM sketched"""
+    for x in _SKETCHED), extra={"sketched": """
+    SELECT event_type AS zone, hour(ts) AS hour, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k,
+           CASE WHEN hour(ts) <> 3 THEN round(value / 10) END AS rounded
+    FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'"""}))
+def range_profile(spark, d):
+    """Nulls and distinct values of a range of days, from sketches stored per day."""
+    rows = c.readings(spark, d).withColumn("rounded", F.when(F.col("hour") != 3, F.round(F.col("value") / 10)))
+    stored = materialize(profile.day_sketches(rows, _SKETCHED), "sketches")
+    return profile.range_profile(stored, "2024-01-05", "2024-01-20")

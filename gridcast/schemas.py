@@ -21,6 +21,7 @@ PEAK_HOUR = _struct(
 METERED_HISTORY = _struct(datetime_beginning_ept=_S, zone=_S, mw=_D)
 SAVED_FORECAST = _struct(index=_I, date=T.DateType(), hour=_I, zone=_S, mw=_D, temp=_D)
 
+LOOKUP = _struct(zone=_S, first_value=_D, first_user=T.LongType())
 LANDED_DOCUMENT = _struct(zone=_S, date=T.DateType(), document=_S)
 
 WEATHER_DOCUMENT = T.StructType(

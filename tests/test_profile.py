@@ -143,3 +143,20 @@ def test_a_wrong_bracket_costs_a_pass_but_no_digit(spark):
 
     wrong = {"x": Row(**(moments["x"].asDict() | {"near": [10.0, 20.0]}))}
     assert profile.exact_quantiles(df, ["x"], [0.5], moments=wrong) == {("x", 0.5): 499.5}
+
+
+def test_sketches_unite_over_days(spark, tmp_path):
+    rows = [(dt.date(2024, 1, 1 + i % 10), i % 50, float(i) if i % 3 else None, f"t{i}", -0.0 if i % 2 else 0.0) for i in range(3000)]
+    rows += [(dt.date(2024, 1, 20), None, float("nan"), None, None)]
+    df = spark.createDataFrame(rows, "date date, few int, many double, text string, zero double")
+    path = f"{tmp_path}/sketches"
+    profile.day_sketches(df, ["few", "many", "text", "zero"]).write.partitionBy("date").parquet(path)
+    stored = spark.read.parquet(path)
+    got = {r["column"]: r for r in profile.range_profile(stored).collect()}
+    assert {c: (r["rows"], r["nulls"]) for c, r in got.items()} == {"few": (3001, 1), "many": (3001, 1001), "text": (3001, 1), "zero": (3001, 1)}
+    assert (got["few"]["distinct_values"], got["zero"]["distinct_values"]) == (50, 1)
+    assert got["many"]["distinct_values"] == pytest.approx(2000, rel=0.03) and got["text"]["distinct_values"] == pytest.approx(3000, rel=0.03)
+    part = profile.range_profile(stored, "2024-01-02", "2024-01-03")
+    assert {r["column"]: r["rows"] for r in part.collect()} == dict.fromkeys(got, 600)
+    assert "PartitionFilters: [isnotnull(date" in part._jdf.queryExecution().executedPlan().toString()
+    assert profile.range_profile(stored, "2025-01-01").count() == 0
