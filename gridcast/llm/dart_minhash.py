@@ -8,8 +8,8 @@ earliest per coordinate. Two documents agree in a coordinate with the probabilit
 
 Texts of equal words are one node. Nodes that agree in a band are first compared with one of them only, the one that meets most
 others, which joins groups of copies of any size in as many comparisons as they have members. Then those that share a band but
-are still in different components are compared with each other, but for pairs whose weights, or the runs they share with any
-text at all, show that they cannot be alike: no pair that could be alike and meets in a band is left out. All comparisons are
+are still in different components are compared with each other in tiles, within tasks, but for texts whose runs that any other
+text shares show that they cannot be alike to one: no pair that could be alike and meets in a band is left out. All comparisons are
 exact; at a similarity of 0.8 a pair meets in some band with probability 1 - 5e-8. Classes are the connected components.
 
 The class of a document is the smallest id in it. Texts without words are each their own class; so are rows without an id,
@@ -33,6 +33,9 @@ SHINGLE = 5
 COORDINATES = 128
 BAND = 4
 SIMILARITY = 0.8
+#: Nodes that share a band are compared in tiles of two chunks, which hold about so many nodes and units of weight each.
+CHUNK_NODES = 1024
+CHUNK_UNITS = 1 << 20
 U = np.uint64
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -171,6 +174,57 @@ def _matchable(open_nodes: DataFrame, elements: DataFrame) -> DataFrame:
     return units.join(often, "unit").groupBy("node").agg(F.count("*").alias("common"))
 
 
+def _compare(table: pd.DataFrame, least: float) -> pd.DataFrame:
+    """Links (a, b) between nodes of one tile that are alike, in different components, and share no smaller key."""
+    nodes, chunk, component = (table[c].to_numpy() for c in ("node", "chunk", "component"))
+    weight = np.array([len(e) for e in table["elements"]], dtype=np.float64)
+
+    def together(lists: list[np.ndarray]) -> np.ndarray:
+        """How many values each two rows have in common, in stretches of values, so that the table of who holds what stays small."""
+        owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        values, place, often = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+        # A value that one row alone holds is in no pair.
+        rank = np.cumsum(often > 1) - 1
+        keep = often[place] > 1
+        owner, place = owner[keep], rank[place[keep]]
+        order = np.argsort(place, kind="stable")
+        owner, place = owner[order], place[order]
+        total = np.zeros((len(lists), len(lists)), dtype=np.float32)
+        for start in range(0, int(place[-1]) + 1 if len(place) else 0, 2048):
+            low, high = np.searchsorted(place, [start, start + 2048])
+            held = np.zeros((len(lists), 2048), dtype=np.float32)
+            held[owner[low:high], place[low:high] - start] = 1
+            total += held @ held.T
+        return total
+
+    earlier = together([k[k < key] for k, key in zip(table["keys"], table["key"])]) > 0
+    common = together(list(table["elements"])).astype(np.float64)
+    alike = common >= least * (weight[:, None] + weight[None, :] - common) - 1e-9
+    wanted = alike & ~earlier & (component[:, None] != component[None, :]) & (nodes[:, None] < nodes[None, :])
+    if table["i"].iloc[0] != table["j"].iloc[0]:
+        wanted &= chunk[:, None] != chunk[None, :]
+    a, b = np.nonzero(wanted)
+    return pd.DataFrame({"a": nodes[a], "b": nodes[b]})
+
+
+def across(open_nodes: DataFrame, elements: DataFrame, least: float) -> DataFrame:
+    """Links between the nodes (key, node, weight, component) that share a key.
+
+    The nodes of a key are dealt to chunks of bounded size and weight, each two chunks meet in a tile, and a node's elements go once to
+    each of its tiles, not once to each of its pairs. A pair is compared under the smallest key that it shares."""
+    sizes = open_nodes.groupBy("key").agg(F.count("*").alias("n"), F.sum("weight").alias("units"), F.min("component").alias("x"), F.max("component").alias("y"))
+    chunks = F.ceil(F.greatest(F.col("n") / CHUNK_NODES, F.col("units") / CHUNK_UNITS)).cast("long")
+    dealt = open_nodes.join(sizes.filter("x < y").select("key", chunks.alias("chunks")), "key")
+    # At most one entry per band.
+    held = dealt.groupBy("node").agg(F.first("component").alias("component"), F.sort_array(F.collect_set("key")).alias("keys"),
+                                     F.collect_list(F.struct("key", "chunks")).alias("places"))
+    full = held.join(elements, "node").select("node", "component", "keys", "elements", F.inline("places"))
+    chunk = F.pmod(F.xxhash64("node"), F.col("chunks"))
+    tiled = full.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    tiled = tiled.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
+    return tiled.groupBy("key", "i", "j").applyInPandas(lambda table: _compare(table, least), "a long, b long").distinct()
+
+
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """For rows (doc_id, text): doc_id and class_id, one row per row."""
     texts = docs.select("doc_id", "text")
@@ -196,14 +250,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
     open_nodes = stored(placed.join(mixed, "key").join(_matchable(placed.join(mixed, "key"), elements), "node"))
     open_nodes = open_nodes.filter(F.col("common") >= least * F.col("weight") - 1e-9)
-    left = open_nodes.select("key", *(F.col(c).alias(f"{c}_a") for c in ("node", "weight", "component", "common")))
-    right = open_nodes.select("key", *(F.col(c).alias(f"{c}_b") for c in ("node", "weight", "component", "common")))
-    # Two texts can have in common only what each shares with any other text at all.
-    enough = F.least("common_a", "common_b") * (1 + least) >= least * (F.col("weight_a") + F.col("weight_b")) - 1e-9
-    apart = (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b"))
-    across = left.join(right, (left["key"] == right["key"]) & apart & enough & _like(F.col("weight_a"), F.col("weight_b"), least))
-    across = across.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    more = alike(across.join(tried, ["a", "b"], "left_anti"), elements, least)
+    more = across(open_nodes, elements, least)
     final = components(links.union(more))
     by_print = nodes.join(final, "node", "left").select("print", F.coalesce("component", "node").alias("class_id"))
     printed = signs.filter("print is not null").join(by_print, "print").select("doc_id", "class_id")

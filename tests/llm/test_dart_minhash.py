@@ -102,3 +102,18 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, k) for k in range(101, 160)] + [(200, 200)]
     got = {r.node: r.component for r in dm.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 1 for i in range(2, 61)}, **{k: 100 for k in range(101, 160)}}
+
+
+def test_tiles_of_any_size_find_the_same_links(documents, monkeypatch):
+    """Families made from one text by edits: most of their pairs share bands, some are alike, and few are alike to the same one."""
+    rng = random.Random(21)
+    rows = []
+    for _ in range(3):
+        base = text(rng, 90)
+        rows += [varied(rng, base, rng.choice((1, 3, 5))) for _ in range(25)]
+    rows += ["", "one", None]
+    want = brute(list(enumerate(rows)))
+    for nodes, units in ((1024, 1 << 20), (3, 1 << 20), (1024, 200)):
+        monkeypatch.setattr(dm, "CHUNK_NODES", nodes)
+        monkeypatch.setattr(dm, "CHUNK_UNITS", units)
+        assert {r.doc_id: r.class_id for r in dm.classes(documents(rows)).collect()} == want
