@@ -175,8 +175,8 @@ def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
 
 
-# The vocabulary is public and read from where it lies; 50256 is the id its makers use for the end of a document.
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+# The vocabulary is public and read from where its package keeps it; 50256 is the id its makers use for the end of a document.
+VOCABULARY = "byte_bpe_50k.tiktoken"
 END_OF_DOCUMENT = 50256
 
 
@@ -187,7 +187,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = fresh_path(spark, "tokens")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    token_counts.write_token_files(docs, path, Path(VOCABULARY).read_bytes(), public_tokenizers.PATTERN, END_OF_DOCUMENT)
+    token_counts.write_token_files(docs, path, Path(public_tokenizers.path(VOCABULARY)).read_bytes(), public_tokenizers.PATTERN, END_OF_DOCUMENT)
     blocks, order = token_counts.read_token_files(spark, path)
     counted = token_counts.scan(blocks, END_OF_DOCUMENT)
     return counted.join(order, ["file", "ordinal"]).select("doc_id", "n_tokens")

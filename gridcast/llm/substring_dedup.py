@@ -203,5 +203,8 @@ def remove_duplicates(docs: DataFrame, size: int = SIZE) -> DataFrame:
     joined = parts[0].join(runs, ["doc_id", "key"], "left").select("doc_id", "text", "starts", "ns")
     for rest in parts[1:]:
         joined = joined.unionByName(rest.select("doc_id", "text", F.lit(None).cast("array<int>").alias("starts"), F.lit(None).cast("array<smallint>").alias("ns")))
-    return joined.mapInPandas(_emit_kept(size), "doc_id long, n_words long, n_removed long, kept string, factors array<array<long>>")
+    # As text: beside a null, pandas holds whole numbers as floats, which changes large ids.
+    done = joined.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(
+        _emit_kept(size), "doc_id string, n_words long, n_removed long, kept string, factors array<array<long>>")
+    return done.withColumn("doc_id", F.col("doc_id").cast("long"))
 

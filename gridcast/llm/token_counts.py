@@ -54,7 +54,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: bytes, pattern: st
             return pd.DataFrame({"file": [file], "block": [at], "content": [content], "ids": [ids]})
 
         for table in parts:
-            names = [None if pd.isna(d) else int(d) for d in table["doc_id"]]
+            names = [None if d is None else int(d) for d in table["doc_id"]]
             if names:
                 yield row(first, None, names)
             first += len(names)
@@ -72,7 +72,8 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: bytes, pattern: st
         if size:
             yield row(block, np.concatenate(held).tobytes(), None)
 
-    docs.select("doc_id", "text").mapInPandas(tokenize, STORED).write.option("compression", "zstd").parquet(path)
+    # Ids as text: beside a null, pandas holds whole numbers as floats, which changes large ones.
+    docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(tokenize, STORED).write.option("compression", "zstd").parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

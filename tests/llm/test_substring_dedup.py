@@ -80,3 +80,8 @@ def test_hashes_depend_on_words_only():
     a = one.runs[0](np.array([3]), np.array([6]))
     b = two.runs[0](np.array([1]), np.array([4]))
     assert a == b
+
+
+def test_large_ids_beside_a_null_id(documents):
+    rows = [(2 ** 53 + 1, "one", "s"), (None, "two", "s"), (2 ** 53 + 3, "one", "s"), (-(2 ** 62) - 1, None, "s")]
+    assert {r[0] for r in got(documents(rows).coalesce(1), 3)} == {2 ** 53 + 1, None, 2 ** 53 + 3, -(2 ** 62) - 1}

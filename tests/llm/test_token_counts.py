@@ -58,3 +58,12 @@ def test_written_files_hold_what_the_tokenizer_gives(spark, documents, clashing)
 def test_empty(spark, documents):
     empty = spark.createDataFrame([], "file long, block long, content binary")
     assert tc.scan(empty, END).count() == 0
+
+
+def test_large_ids_beside_a_null_id(spark, documents):
+    vocabulary = Path(public_tokenizers.path("byte_bpe_50k.tiktoken")).read_bytes()
+    ids = [2 ** 53 + 1, None, 2 ** 53 + 3]
+    path = fresh_path(spark, "tokens")
+    tc.write_token_files(documents([(i, "word", "s") for i in ids]).coalesce(1), path, vocabulary, public_tokenizers.PATTERN, 50256)
+    blocks, order = tc.read_token_files(spark, path)
+    assert {r.doc_id for r in tc.scan(blocks, 50256).join(order, ["file", "ordinal"]).collect()} == set(ids)
