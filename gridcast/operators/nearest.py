@@ -19,6 +19,8 @@ from gridcast.session import materialize
 
 LEAF_SITES = 32
 MAX_LEVEL = 12
+# The first cell. Zero, but not as a constant: a join on a constant would be a join of all with all to the planner.
+ROOT = ["pmod(hash(lat), 1) AS level", "CAST(pmod(hash(lat), 1) AS BIGINT) AS cx", "CAST(pmod(hash(lat), 1) AS BIGINT) AS cy"]
 
 
 def _finite(*names: str) -> Column:
@@ -51,10 +53,10 @@ def site_index(sites: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     compact = materialize(compact, "sites")
     ends = compact.agg(F.min("lat").alias("a"), F.max("lat").alias("b"), F.min("long").alias("c"), F.max("long").alias("d"), F.count("*").alias("n")).first()
     if not ends["n"]:
-        return compact, compact.selectExpr("0 AS level", "0L AS cx", "0L AS cy", "*"), 0
+        return compact, compact.selectExpr(*ROOT, "*"), 0
     placed = compact.withColumns({"x": _cell(F.col("lat"), ends["a"], ends["b"]), "y": _cell(F.col("long"), ends["c"], ends["d"])})
     if ends["n"] <= LEAF_SITES:
-        return compact, placed.selectExpr("0 AS level", "0L AS cx", "0L AS cy", "lat", "long", "site_order", "zone"), 0
+        return compact, placed.selectExpr(*ROOT, "lat", "long", "site_order", "zone"), 0
     cells = _levels(placed, ["lat", "long"]).groupBy("level", "cx", "cy").agg(
         F.count("*").alias("n"), F.min("lat").alias("lat_min"), F.max("lat").alias("lat_max"), F.min("long").alias("long_min"), F.max("long").alias("long_max"))
     cells = materialize(cells, "cells")
@@ -77,10 +79,7 @@ _UPPER = """least(least(abs(lat - lat_min), abs(lat - lat_max)) + greatest(abs(l
 def compared(places: DataFrame, sites: DataFrame) -> DataFrame:
     """The pairs of a place (lat, long; no two alike) and a site that are compared: lat, long, distance, site_order, zone."""
     index, inside, depth = site_index(sites)
-    # Zero, but not as a constant: a join on a constant would be a join of all with all to the planner.
-    root = "pmod(hash(lat), 1)"
-    at = places.selectExpr("lat", "long", f"{root} AS level", f"CAST({root} AS BIGINT) AS cx", f"CAST({root} AS BIGINT) AS cy",
-                           "false AS leaf", "0D AS lower", "CAST('Infinity' AS DOUBLE) AS upper")
+    at = places.selectExpr("lat", "long", *ROOT, "false AS leaf", "0D AS lower", "CAST('Infinity' AS DOUBLE) AS upper")
     for level in range(1, depth + 1):
         below = index.filter(F.col("level") == level).selectExpr(
             "px", "py", "cx AS x", "cy AS y", "leaf AS is_leaf", "lat_min", "lat_max", "long_min", "long_max")
