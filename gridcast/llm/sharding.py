@@ -25,7 +25,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridcast.llm.store import fresh_path, stored
+from gridcast.llm.store import stored, written
 
 SHARDS = 16
 SEED = 12
@@ -133,9 +133,7 @@ def permuted(rows: DataFrame, seed: int = SEED) -> DataFrame:
     tagged = rows.withColumn("__scanned", F.monotonically_increasing_id())
     mixed = tagged.sortWithinPartitions(F.xxhash64(F.lit(seed), "__scanned"), "__scanned").drop("__scanned")
     placed = mixed.select("*", F.spark_partition_id().cast("long").alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit(_PLACE)).alias("place"))
-    path = fresh_path(rows.sparkSession, "permuted")
-    placed.write.parquet(path)
-    return rows.sparkSession.read.schema(placed.schema).parquet(path)
+    return written(placed, "permuted")
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, cell_rows: int = CELL_ROWS) -> DataFrame:
