@@ -19,11 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridcast.models.evaluate import random_split, standard_scale
-from gridcast.session import materialize, scratch_path
+from gridcast.session import discard, materialize, scratch_path
 
 
 WRITERS = 8
 MAX_NODES = 500_000
+#: Nodes of a forest that are grown together (a few hundred bytes each in the driver), and what a task holds of their statistics.
+FOREST_NODES = 1_000_000
+STATISTICS_MB = 256
 
 
 def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -37,16 +40,40 @@ def fit_forest(
     depth: int = 30, partitions: int | None = None,
 ) -> DataFrame:
     """Split, scale and fit a random forest; returns the scored test rows. Every split looks at all features; ``depth`` is
-    the most the learner allows. ``partitions`` spreads a small input, which is read many times, over more tasks."""
+    the most the learner allows. ``partitions`` spreads a small input, which is read many times, over more tasks.
+
+    Full trees grow with the rows, and the learner holds all trees of a fit at once, in the driver and in every task that
+    scores. So trees are fitted some at a time (:func:`trees_at_once`), and test rows carry the sum of the trees so far."""
     split = random_split(df, keys, seed=seed)
     train = split.filter("test = 0")
-    scaled = assemble(standard_scale(train, split, features), features)
-    scaled = scaled.repartition(partitions) if partitions else scaled
-    model = RandomForestRegressor(
-        featuresCol="features", labelCol=target, numTrees=trees, seed=seed, maxDepth=depth, minInstancesPerNode=1, featureSubsetStrategy="all",
-        maxMemoryInMB=1024, cacheNodeIds=True,  # deep trees: more nodes a pass, and rows need not walk down again
-    ).fit(scaled.filter("test = 0"))
-    return model.transform(scaled.filter("test = 1")).drop("features")
+    scaled = materialize(standard_scale(train, split, features), "forest")
+    fitted = assemble(scaled.filter("test = 0"), features)
+    fitted = fitted.repartition(partitions) if partitions else fitted
+    # Complete rows only; the vector is made anew after each reading.
+    scored, path = assemble(scaled.filter("test = 1"), features).drop("features"), None
+    at_once, total = trees_at_once(fitted, features, trees), F.lit(0.0)
+    for first in range(0, trees, at_once):
+        model = RandomForestRegressor(
+            featuresCol="features", labelCol=target, numTrees=(n := min(at_once, trees - first)), seed=seed + first, maxDepth=depth,
+            minInstancesPerNode=1, featureSubsetStrategy="all", maxMemoryInMB=STATISTICS_MB, cacheNodeIds=True,  # rows need not walk down again
+        ).fit(fitted)
+        found = model.transform(assemble(scored, features)).drop("features")
+        if at_once >= trees:
+            return found
+        total, older = F.col("prediction") * n + total, path
+        path = scratch_path(df.sparkSession, "forest-sum")
+        found.withColumn("__total", total).drop("prediction").write.parquet(path)
+        scored, total = df.sparkSession.read.parquet(path), F.col("__total")
+        if older:
+            discard(df.sparkSession, older)
+    return scored.withColumn("prediction", F.col("__total") / trees).drop("__total")
+
+
+def trees_at_once(rows: DataFrame, features: Sequence[str], trees: int) -> int:
+    """How many full trees have at most ``FOREST_NODES`` nodes together; one at least. A tree has no more leaves than
+    there are rows, and no more than there are different ones (which are estimated)."""
+    n, different = rows.agg(F.count(F.lit(1)), F.approx_count_distinct(F.struct(*features), 0.02)).first()
+    return max(1, min(trees, FOREST_NODES // max(1, 2 * min(n, different))))
 
 
 def fit_boosted(

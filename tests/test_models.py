@@ -240,3 +240,27 @@ def test_the_forest_query_grows_full_trees(spark, tmp_path, monkeypatch):
     result = model_queries.random_forest(spark, str(tmp_path)).first()
     own = seen["scored"].agg(F.avg(F.abs(F.col("mw") - F.col("prediction")))).first()[0]
     assert result["near_mean"] and own < 0.2 * result["mean_error"]
+
+
+def test_the_forest_is_grown_some_trees_at_a_time(frame, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = frame([(i, float(a), float(b), float(3 * a + b)) for i, (a, b) in enumerate(rng.integers(0, 16, (1200, 2)))], "id long, x double, y double, mw double")
+    learner, seen = trees.RandomForestRegressor, []
+
+    def noted(**options):
+        seen.append(options)
+        return learner(**options)
+
+    monkeypatch.setattr(trees, "RandomForestRegressor", noted)
+    whole = trees.fit_forest(rows, ["x", "y"], "mw", ["id"], trees=10)
+    assert [o["numTrees"] for o in seen] == [10] and seen.pop()["maxMemoryInMB"] <= 256
+    # At most 256 different rows, so 512 nodes a tree, and a little more or less as they are estimated.
+    monkeypatch.setattr(trees, "FOREST_NODES", 2100)
+    parts = trees.fit_forest(rows, ["x", "y"], "mw", ["id"], trees=10)
+    sizes = [o["numTrees"] for o in seen]
+    assert sum(sizes) == 10 and max(sizes) <= 5 and len({o["seed"] for o in seen}) == len(seen)
+    assert parts.columns == whole.columns
+    want, got = ({r.id: r.prediction for r in f.collect()} for f in (whole, parts))
+    assert want.keys() == got.keys() and len(got) > 100
+    assert max(abs(want[i] - got[i]) for i in want) < 6
+    assert evaluate.mean_absolute_error(parts, "mw", "prediction").first()["mae"] < 1.5
