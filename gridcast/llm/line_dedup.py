@@ -182,11 +182,11 @@ def near_lines(lines: DataFrame, threshold: Threshold = THRESHOLD) -> DataFrame:
     most = most_edits(threshold)
     # A line goes through the shuffle once, as text, which is smaller than its keys; all that follows starts from distinct lines.
     first = lines.groupBy("one", "two").agg(F.first("line").alias("line"), F.min("place").alias("first"))
-    distinct = written(first, "distinct-lines")
     length = F.length("line")
-    # A key row is two numbers: the segment, and the line's hash, whose last bits are its tally.
+    # A key row is two numbers: the segment, and the line's hash, whose last bits are its tally. Counting letters costs more than the keys: once a line.
     code = F.shiftleft(F.shiftrightunsigned("one", TALLY_BITS), TALLY_BITS).bitwiseOR(tally(F.col("line"), length))
-    keyed = distinct.select(code.alias("code"), index_keys(F.col("line"), length, threshold).alias("own"), probe_keys(F.col("line"), length, threshold).alias("sought"))
+    distinct = written(first.withColumn("code", code), "distinct-lines")
+    keyed = distinct.select("code", index_keys(F.col("line"), length, threshold).alias("own"), probe_keys(F.col("line"), length, threshold).alias("sought"))
     own = keyed.select("code", F.explode("own").alias("segment"))
     # A line seeks its own segments too, where they are; these rows are there already, and meet each other.
     sought = keyed.select("code", F.explode(F.array_except("sought", "own")).alias("segment")).filter("segment is not null")
@@ -201,7 +201,7 @@ def near_lines(lines: DataFrame, threshold: Threshold = THRESHOLD) -> DataFrame:
     if wanted.count() <= BROADCAST_LINES:
         wanted = F.broadcast(wanted)
     letters = F.array(*[length - F.length(F.replace(F.col("line"), F.lit(x), F.lit(""))) for x in LETTERS])
-    texts = stored(distinct.withColumns({"code": code, "letters": letters}).join(wanted, "code"))
+    texts = stored(distinct.join(wanted, "code").withColumn("letters", letters))
     left, right = (texts.select(*(F.col(c).alias(f"{c}_{side}") for c in texts.columns)) for side in "ab")
     met = pairs.join(left, F.col("a") == F.col("code_a")).join(right, F.col("b") == F.col("code_b"))
     limit = allowed(F.least(F.length("line_a"), F.length("line_b")), threshold)

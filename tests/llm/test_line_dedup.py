@@ -140,3 +140,18 @@ def test_repeated_rows_and_long_lines(documents):
 def test_empty(documents):
     assert line_dedup.dedup_report(documents([])).count() == 0
     assert line_dedup.remove_lines(documents([])).count() == 0
+
+
+def test_letters_are_counted_once_a_line(spark, documents, monkeypatch):
+    kept, write, store = [], line_dedup.written, line_dedup.stored
+
+    def plan(df):
+        return df._jdf.queryExecution().analyzed().toString()
+
+    monkeypatch.setattr(line_dedup, "written", lambda df, name: kept.append((df.columns, plan(df))) or write(df, name))
+    monkeypatch.setattr(line_dedup, "stored", lambda df: kept.append((df.columns, plan(df))) or store(df))
+    found = line_dedup.dedup_report(documents([(1, LONG, "s"), (2, f"{LONG}!", "s")])).collect()
+    assert [(r.doc_id, r.n_removed, r.links) for r in sorted(found)] == [(1, 0, 1), (2, 1, 1)]
+    # The number is written with the line; nothing that is kept later counts the letters of all lines again.
+    (columns, first), *later = kept
+    assert "code" in columns and "shiftleft" in first and not any("shiftleft" in p for _, p in later)
