@@ -37,6 +37,8 @@ QUANTILE = 0.005
 SLACK = 0.85
 LEAST = 20
 CHUNK = 1 << 20
+#: Texts whose vectors are made or added up at a time.
+PIECE = 64
 UNKNOWN = "und"
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -81,9 +83,11 @@ def counts(text: str | None) -> np.ndarray:
 
 
 def vectors(texts, idf: np.ndarray) -> np.ndarray:
-    """Unit vectors, made in pieces so that little is held besides them."""
-    pieces = [unit(np.sqrt(np.stack([counts(t) for t in texts[start:start + 64]])) * idf) for start in range(0, len(texts), 64)]
-    return np.concatenate(pieces) if pieces else np.zeros((0, BUCKETS), dtype=np.float32)
+    """Unit vectors, made in pieces into their place so that little is held besides them."""
+    rows = np.empty((len(texts), BUCKETS), dtype=np.float32)
+    for start in range(0, len(texts), PIECE):
+        rows[start:start + PIECE] = unit(np.sqrt(np.stack([counts(t) for t in texts[start:start + PIECE]])) * idf)
+    return rows
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -91,6 +95,14 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return (rows / np.where(norms > 0, norms, 1)).astype(np.float32)
 
 
+def summed(rows: np.ndarray, taken: np.ndarray) -> np.ndarray:
+    """The sum of the rows at these places, in their order, without a copy of them all."""
+    total = rows[taken[:PIECE]].sum(axis=0)
+    for start in range(PIECE, len(taken), PIECE):
+        total = np.concatenate([total[None], rows[taken[start:start + PIECE]]]).sum(axis=0)
+    return total
+
+
 def clustered(rows: np.ndarray, k: int, rounds: int) -> np.ndarray:
     """Centroids of unit vectors by spherical k-means; the first centres are picked far apart, without chance."""
     centres = [rows.mean(axis=0)]
@@ -102,7 +114,7 @@ def clustered(rows: np.ndarray, k: int, rounds: int) -> np.ndarray:
     centres = unit(np.stack(centres[1:] or centres))
     for _ in range(rounds):
         owner = (rows @ centres.T).argmax(axis=1)
-        sums = np.stack([rows[owner == c].sum(axis=0) if (owner == c).any() else centres[c] for c in range(len(centres))])
+        sums = np.stack([summed(rows, np.flatnonzero(owner == c)) if (owner == c).any() else centres[c] for c in range(len(centres))])
         centres = unit(sums)
     return centres
 
@@ -112,7 +124,10 @@ def floors(texts: list[str], rows: np.ndarray, idf: np.ndarray, k: int, rounds:
     halves = [clustered(rows[i::2], k, rounds) for i in (1, 0)] if len(texts) > 1 else []
     found = [REJECT]
     for length in LENGTHS:
-        cosines = [(vectors([t[:length] for t in texts[i::2] if len(t) >= length], idf) @ other.T).max(axis=1) for i, other in enumerate(halves)]
+        cosines = []
+        for i, other in enumerate(halves):
+            cut = [t[:length] for t in texts[i::2] if len(t) >= length]
+            cosines += [(vectors(cut[start:start + PIECE], idf) @ other.T).max(axis=1) for start in range(0, len(cut), PIECE)]
         held = np.concatenate(cosines) if cosines else np.zeros(0)
         found.append(SLACK * float(np.quantile(held, QUANTILE)) if len(held) >= LEAST else found[-1])
     return np.array(found)
@@ -130,14 +145,14 @@ class Model:
         if not self.names:
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.full(len(texts), REJECT)
         names, scores, least = [], np.zeros(len(texts)), np.zeros(len(texts))
-        for start in range(0, len(texts), 64):
-            part = [t if isinstance(t, str) else "" for t in texts.iloc[start:start + 64]]
+        for start in range(0, len(texts), PIECE):
+            part = [t if isinstance(t, str) else "" for t in texts.iloc[start:start + PIECE]]
             rows = np.stack([counts(t) for t in part])
             cosines = unit(np.sqrt(rows) * self.idf) @ self.centroids.T
             best = cosines.argmax(axis=1)
-            scores[start:start + 64] = cosines[np.arange(len(part)), best]
+            scores[start:start + PIECE] = cosines[np.arange(len(part)), best]
             # Every place counts once in each order.
-            least[start:start + 64] = self.floors[best, np.searchsorted(LENGTHS, rows.sum(axis=1) / len(ORDERS), side="right")]
+            least[start:start + PIECE] = self.floors[best, np.searchsorted(LENGTHS, rows.sum(axis=1) / len(ORDERS), side="right")]
             names += [self.names[b] for b in best]
         known = np.array(letters, dtype=bool)
         return [n if k else UNKNOWN for n, k in zip(names, known)], np.where(known, np.clip(scores, 0.0, 1.0), 0.0), least

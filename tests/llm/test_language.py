@@ -70,3 +70,24 @@ def test_copies_count_once_in_the_sample(spark):
     copies = [(r.text, r.lang) for r in frame.collect() for _ in range(1 + 400 * (rng.random() < 0.1))]
     one, two = (language.fit(f, sample=20) for f in (frame, spark.createDataFrame(copies, "text string, lang string")))
     assert one.names == two.names and (one.centroids == two.centroids).all() and (one.idf == two.idf).all() and (one.floors == two.floors).all()
+
+
+def test_fitting_holds_little_besides_the_vectors():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    texts = ["".join(rng.choice(list("abcdefghij klmnop"), 300)) for _ in range(400)]
+    idf = np.ones(language.BUCKETS)
+    whole = 400 * language.BUCKETS * 4
+    tracemalloc.start()
+    rows = language.vectors(texts, idf)
+    made = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    centres = language.clustered(rows, 2, 3)
+    least = language.floors(texts, rows, idf, 2, 3)
+    fitted = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert made < 2 * whole and fitted < 2 * whole
+    # The same as with everything at once.
+    assert (language.summed(rows, np.arange(1, 400, 2)) == rows[1::2].sum(axis=0)).all()
+    assert centres.shape == (2, language.BUCKETS) and len(least) == len(language.LENGTHS) + 1
