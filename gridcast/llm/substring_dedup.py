@@ -103,7 +103,7 @@ def encoded(texts) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in texts]
 
 
-def pieces(table: pd.DataFrame, characters: int = 1 << 21) -> Iterator[pd.DataFrame]:
+def pieces(table: pd.DataFrame, characters: int = 1 << 18) -> Iterator[pd.DataFrame]:
     """A table in parts of bounded text, at least a row each."""
     sizes = np.array([len(t) if isinstance(t, str) else 0 for t in table["text"]])
     part = np.cumsum(sizes) // characters
@@ -142,29 +142,30 @@ def _emit_windows(size: int):
 def _emit_kept(size: int):
     def emit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for table in parts:
-            n_words, removed, kept, factors = [], [], [], []
-            for text, starts, ns in zip(encoded(table["text"]), table["starts"], table["ns"]):
-                words = text.split()
-                gone = np.zeros(len(words) + 1, dtype=np.int64)
-                found = []
-                if starts is not None:
-                    # A run goes on as long as the next window is found before it ends.
-                    for start, n in sorted(zip(starts, ns)):
-                        end = int(start) + int(n) + size - 1
-                        if found and start <= found[-1][1]:
-                            found[-1][1] = max(found[-1][1], end)
-                        else:
-                            found.append([int(start), end])
-                    for start, end in found:
-                        gone[start] += 1
-                        gone[end] -= 1
-                out = np.cumsum(gone[:-1]) > 0
-                left = b" ".join(w for w, g in zip(words, out) if g == 0) if len(found) else b" ".join(words)
-                n_words.append(len(words))
-                removed.append(int(out.sum()))
-                kept.append(left.decode("utf-8", "surrogatepass"))
-                factors.append(found)
-            yield table.drop(columns=["text", "starts", "ns"]).assign(n_words=n_words, n_removed=removed, kept=kept, factors=factors)
+            for rows in pieces(table):
+                n_words, removed, kept, factors = [], [], [], []
+                for text, starts, ns in zip(encoded(rows["text"]), rows["starts"], rows["ns"]):
+                    words = text.split()
+                    gone = np.zeros(len(words) + 1, dtype=np.int64)
+                    found = []
+                    if starts is not None:
+                        # A run goes on as long as the next window is found before it ends.
+                        for start, n in sorted(zip(starts, ns)):
+                            end = int(start) + int(n) + size - 1
+                            if found and start <= found[-1][1]:
+                                found[-1][1] = max(found[-1][1], end)
+                            else:
+                                found.append([int(start), end])
+                        for start, end in found:
+                            gone[start] += 1
+                            gone[end] -= 1
+                    out = np.cumsum(gone[:-1]) > 0
+                    left = b" ".join(w for w, g in zip(words, out) if g == 0) if len(found) else b" ".join(words)
+                    n_words.append(len(words))
+                    removed.append(int(out.sum()))
+                    kept.append(left.decode("utf-8", "surrogatepass"))
+                    factors.append(found)
+                yield rows.drop(columns=["text", "starts", "ns"]).assign(n_words=n_words, n_removed=removed, kept=kept, factors=factors)
 
     return emit
 

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 
 from gridcast.llm import substring_dedup as sd
 
@@ -85,3 +86,11 @@ def test_hashes_depend_on_words_only():
 def test_large_ids_beside_a_null_id(documents):
     rows = [(2 ** 53 + 1, "one", "s"), (None, "two", "s"), (2 ** 53 + 3, "one", "s"), (-(2 ** 62) - 1, None, "s")]
     assert {r[0] for r in got(documents(rows).coalesce(1), 3)} == {2 ** 53 + 1, None, 2 ** 53 + 3, -(2 ** 62) - 1}
+
+
+def test_kept_words_go_back_in_parts_of_bounded_text():
+    texts = [f"{i} " * 20_000 for i in range(30)]
+    table = pd.DataFrame({"doc_id": [str(i) for i in range(30)], "text": texts, "starts": None, "ns": None})
+    parts = list(sd._emit_kept(50)(iter([table])))
+    assert max(sum(map(len, p["kept"])) for p in parts) < 1 << 19
+    assert pd.concat(parts)["kept"].tolist() == [t.strip() for t in texts]
