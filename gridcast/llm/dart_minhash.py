@@ -36,6 +36,8 @@ SIMILARITY = 0.8
 #: Nodes that share a band are compared in tiles of two chunks, which hold about so many nodes and units of weight each.
 CHUNK_NODES = 1024
 CHUNK_UNITS = 1 << 20
+#: Up to so many links go to every task, as the smallest neighbour of each node.
+BROADCAST_LINKS = 100_000
 U = np.uint64
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -111,7 +113,7 @@ def bands(signature: np.ndarray, band: int = BAND) -> np.ndarray:
 
 def _sign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for table in parts:
-        for rows in pieces(table, 1 << 20):
+        for rows in pieces(table):
             texts = encoded(rows["text"])
             plain = [b" ".join(t.translate(PLAIN).split()) for t in texts]
             owner, code, weight = shingled(texts)
@@ -135,18 +137,22 @@ def components(edges: DataFrame) -> DataFrame:
     Every step is a grouping to a minimum and a join; a node with many edges is spread over tasks.
     """
     pairs = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    mark = None
-    while True:
+    mark, now = None, _state(pairs)
+    while now != mark:
+        # Few links meet their minima where they are; with many small partitions each exchange costs more than its rows.
+        near = F.broadcast if now[0] <= BROADCAST_LINKS else lambda df: df
         both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.join(near(low), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        small = large.join(near(low), "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         pairs = stored(small.select("e.*").filter("u <> v").distinct())
-        now = pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
-            return pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        mark = now
+        mark, now = now, _state(pairs)
+    return pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def _state(pairs: DataFrame) -> tuple:
+    return pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -207,8 +213,26 @@ def _compare(table: pd.DataFrame, least: float) -> pd.DataFrame:
     return pd.DataFrame({"a": nodes[a], "b": nodes[b]})
 
 
-def across(open_nodes: DataFrame, elements: DataFrame, least: float) -> DataFrame:
-    """Links between the nodes (key, node, weight, component) that share a key.
+def sketch(elements: Column) -> Column:
+    """Two bytes of each unit. Texts have no more units in common than such values, repeats counted."""
+    return F.transform(elements, lambda unit: (unit.bitwiseAND(F.lit(0xFFFF)) - 0x8000).cast("smallint"))
+
+
+def repeats_told(values: np.ndarray) -> np.ndarray:
+    """Each value with how often it came before, as one number: lists then have as many in common as the smaller counts add up to."""
+    values = np.sort(values.astype(np.int64))
+    return values + 0x8000 + (np.arange(len(values)) - np.searchsorted(values, values)) * 0x10000
+
+
+def _candidates(table: pd.DataFrame, least: float) -> pd.DataFrame:
+    """The nodes of one tile that may be alike to another by their sketches."""
+    met = _compare(table.assign(elements=[repeats_told(x) for x in table["elements"]]), least)
+    found = np.unique(np.concatenate([met["a"], met["b"]])).astype(np.int64)
+    return pd.DataFrame({"key": np.full(len(found), table["key"].iloc[0], dtype=np.int64), "node": found})
+
+
+def tiles(open_nodes: DataFrame, elements: DataFrame) -> DataFrame:
+    """The nodes (key, node, weight, component) that share a key, once in each tile (key, i, j).
 
     The nodes of a key are dealt to chunks of bounded size and weight, each two chunks meet in a tile, and a node's elements go once to
     each of its tiles, not once to each of its pairs. A pair is compared under the smallest key that it shares."""
@@ -221,8 +245,20 @@ def across(open_nodes: DataFrame, elements: DataFrame, least: float) -> DataFram
     full = held.join(elements, "node").select("node", "component", "keys", "elements", F.inline("places"))
     chunk = F.pmod(F.xxhash64("node"), F.col("chunks"))
     tiled = full.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    tiled = tiled.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
-    return tiled.groupBy("key", "i", "j").applyInPandas(lambda table: _compare(table, least), "a long, b long").distinct()
+    # Only smaller keys are looked at.
+    return tiled.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "node", "chunk", "component",
+                        F.filter("keys", lambda k: k < F.col("key")).alias("keys"), "elements")
+
+
+def across(open_nodes: DataFrame, elements: DataFrame, least: float) -> DataFrame:
+    """Links between the nodes (key, node, weight, component) that share a key.
+
+    All nodes meet by their sketches, which rule out most of them without a doubt; what is left meets by its elements."""
+    small = elements.select("node", sketch(F.col("elements")).alias("elements"))
+    found = stored(tiles(open_nodes, small).groupBy("key", "i", "j").applyInPandas(
+        lambda table: _candidates(table, least), "key long, node long").distinct())
+    left = tiles(open_nodes.join(found, ["key", "node"]), elements)
+    return left.groupBy("key", "i", "j").applyInPandas(lambda table: _compare(table, least), "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:

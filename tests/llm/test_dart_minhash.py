@@ -117,3 +117,29 @@ def test_tiles_of_any_size_find_the_same_links(documents, monkeypatch):
         monkeypatch.setattr(dm, "CHUNK_NODES", nodes)
         monkeypatch.setattr(dm, "CHUNK_UNITS", units)
         assert {r.doc_id: r.class_id for r in dm.classes(documents(rows)).collect()} == want
+
+
+def test_sketches_rule_out_no_pair_that_is_alike():
+    rng = np.random.default_rng(6)
+    for size in (5, 300, 40_000):
+        a = rng.integers(-(1 << 62), 1 << 62, size)
+        b = np.concatenate([a[: size * 9 // 10], rng.integers(-(1 << 62), 1 << 62, size // 10)])
+        short = [dm.repeats_told(((x & 0xFFFF) - 0x8000).astype(np.int16)) for x in (a, b)]
+        assert [len(np.unique(x)) for x in short] == [len(a), len(b)]
+        assert len(np.intersect1d(*short)) >= len(np.intersect1d(a, b))
+
+
+def test_only_what_sketches_leave_meets_by_its_elements(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    base = rng.integers(-(1 << 62), 1 << 62, 200).tolist()
+    other = lambda n: rng.integers(-(1 << 62), 1 << 62, n).tolist()
+    # 1 and 2 are alike; the others share less than 0.8 with any.
+    units = {1: base, 2: base[:190] + other(10)} | {i: base[:120] + other(80) for i in range(3, 40)}
+    elements = spark.createDataFrame(list(units.items()), "node long, elements array<long>")
+    open_nodes = spark.createDataFrame([(k, i, len(u), i) for i, u in units.items() for k in (5, 9)], "key long, node long, weight long, component long")
+    seen, tiles = [], dm.tiles
+    monkeypatch.setattr(dm, "tiles", lambda nodes, elements: seen.append(tiles(nodes, elements)) or seen[-1])
+    assert [tuple(r) for r in dm.across(open_nodes, elements, 0.8).collect()] == [(1, 2)]
+    sketched, whole = seen
+    assert sketched.schema["elements"].dataType.elementType.simpleString() == "smallint" and sketched.count() == 2 * len(units)
+    assert {(r.key, r.node) for r in whole.collect()} == {(5, 1), (5, 2)}
