@@ -6,10 +6,16 @@ are indexed by (length, segment number, segment), and each probes, for every len
 places where that segment can be. Pairs that meet, and whose counts of a few letters allow it, are verified by their edit distance, computed column by column in a
 band of ``2 * threshold + 1`` rows, whose differences are the bits of two numbers.
 
+Lines that meet in a segment which many lines share must also meet in one of their rarest grams, near the same place. Each takes the
+first of its grams, in one order of all grams, until no ``threshold`` edits can touch them all; of two lines that are alike, the one whose
+last gram comes first then has one of its own left in the other, among those the other took. The order is free, and rare grams come first in
+it: what a family of lines has from one template is common, and brings only those together that differ from it in little. Of these, pairs go
+whose rare grams, missing in the other line on either side, need more edits than are allowed.
+
 A line goes if the same line, or one alike, stands at an earlier place; places are ordered by doc_id (null last) and line
 number, and judged on the input. Lines shorter than ``min_chars`` take no part in the edit join; they are kept, or with
 ``exact_chars`` go as exact repeats from that length on, blank ones aside. Repeated lines are reduced to one before the join. Lines are cut at the line feed; null and empty texts lose nothing. Rows that repeat an id and text are at one place, and
-treated alike. Everything is DataFrame functions; a segment that many lines share is split by the adaptive join.
+treated alike. Everything is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -19,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridcast.llm.store import few, stored, written
+from gridcast.llm.store import few, narrowed, stored, written
 
 THRESHOLD = 1
 MIN_CHARS = 20
@@ -28,6 +34,13 @@ GROWING = ((20, 1), (50, 2), (100, 3))
 BROADCAST_LINES = 500_000
 LETTERS = "enatio"
 TALLY_BITS = 3 * len(LETTERS)
+#: A segment is common if about so many lines share it, judged by one line in ``ONE_IN``; both ways of meeting find the same pairs.
+COMMON = 32
+ONE_IN = 8
+GRAM = 6
+#: The order of grams needs only an idea of how frequent they are: by kind (hash), from one line in ``GRAM_ONE_IN`` that has a common segment.
+GRAM_KINDS = 1 << 14
+GRAM_ONE_IN = 16
 
 
 def _segment(length: Column, i: int, threshold: int) -> tuple[Column, Column]:
@@ -120,6 +133,11 @@ def tallies_near(a: Column, b: Column, threshold: int) -> Column:
     return differ <= 2 * threshold
 
 
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is computed a single time, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def edit_distance(a: Column, b: Column, threshold: int = THRESHOLD) -> Column:
     """Edit distance of two lines whose lengths differ by at most ``threshold``; exact up to it, above it just larger.
 
@@ -153,18 +171,14 @@ def edit_distance(a: Column, b: Column, threshold: int = THRESHOLD) -> Column:
         half = F.shiftright(same, 1)
         return F.struct(right_down.bitwiseOR(bits(half.bitwiseOR(right_up))).alias("up"), half.bitwiseAND(right_up).alias("down"), (cost + step).alias("cost"))
 
-    def once(value: Column, use) -> Column:
-        """``use`` of a value that is computed a single time, however often it is used."""
-        return F.element_at(F.transform(F.array(value), use), 1)
-
     def over(letters: Column) -> Column:
         def add(state: Column, j: Column) -> Column:
-            return once(matches(j, letters["a"], letters["b"]),
+            return _once(matches(j, letters["a"], letters["b"]),
                         lambda equal: column(j, letters["rows"], state["up"], state["down"], state["cost"], equal))
 
         return F.aggregate(F.sequence(F.lit(1), F.size(letters["b"])), start, add)["cost"]
 
-    return once(F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b"), F.length(a).alias("rows")), over)
+    return _once(F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b"), F.length(a).alias("rows")), over)
 
 
 def lines_of(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
@@ -177,6 +191,104 @@ def lines_of(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int | Non
     return cut.select("key", place.alias("place"), F.xxhash64("line").alias("one"), F.xxhash64(F.lit(1), "line").alias("two"), "line")
 
 
+def _grams(letters: Column) -> Column:
+    """The grams of a line's letters, as hashes in their order; none if it is shorter."""
+    hashed = F.transform(F.sequence(F.lit(0), F.size(letters) - GRAM), lambda i: F.xxhash64(*(F.get(letters, i + k) for k in range(GRAM))))
+    return F.when(F.size(letters) >= GRAM, hashed).otherwise(F.array().cast("array<bigint>"))
+
+
+def gram_order(lines: DataFrame) -> bytes:
+    """One byte for each kind of gram: the logarithm of how often it stands in some of the lines."""
+    some = lines.filter(F.pmod("code", F.lit(GRAM_ONE_IN << TALLY_BITS)) < 1 << TALLY_BITS)
+    grams = some.select(F.explode(_once(F.split("line", ""), lambda letters: F.array_distinct(_grams(letters)))).alias("gram"))
+    order = bytearray(GRAM_KINDS)
+    for kind, n in grams.groupBy(F.pmod("gram", F.lit(GRAM_KINDS)).alias("kind")).count().collect():
+        order[kind] = min(255, 4 * n.bit_length() + (n << 3 >> n.bit_length() & 3))
+    return bytes(order)
+
+
+def touched(places: Column) -> Column:
+    """The fewest edits that touch a gram at each of the places."""
+    start = F.struct(F.lit(-GRAM).alias("at"), F.lit(0).alias("n"))
+    return F.aggregate(F.array_sort(places), start, lambda s, at: F.when(at >= s["at"] + GRAM, F.struct(at.alias("at"), (s["n"] + 1).alias("n"))).otherwise(s))["n"]
+
+
+def rare_grams(line: Column, edits: Column, order: bytes) -> Column:
+    """The first grams of a line in the order, more than ``edits`` can touch or all it has: rank, gram, first and last place."""
+    def placed(grams: Column, turned: Column) -> Column:
+        ordered = F.array_sort(F.transform(F.array_distinct(grams), lambda g: F.struct(
+            F.substring(F.lit(order), F.pmod(g, F.lit(GRAM_KINDS)).cast("int") + 1, 1).alias("rank"), g.alias("gram"))))
+        # Each edit touches at most GRAM of them.
+        return F.transform(F.slice(ordered, F.lit(1), edits * GRAM + 1), lambda x: F.struct(
+            x["rank"].alias("rank"), x["gram"].alias("gram"), F.array_position(grams, x["gram"]).cast("int").alias("first"),
+            (F.size(grams) + 1 - F.array_position(turned, x["gram"])).cast("int").alias("last")))
+
+    return _once(_once(F.split(line, ""), _grams), lambda g: placed(g, F.reverse(g)))
+
+
+def meeting_grams(rare: Column, length: Column, edits: Column) -> Column:
+    """Those of the rare grams that come first, until ``edits`` cannot touch them all; a line with too few has 0 at any place besides."""
+    firsts = F.transform(rare, lambda x: x["first"])
+    enough = F.filter(rare, lambda x, i: touched(F.slice(firsts, F.lit(1), i)) <= edits)
+    taken = F.transform(enough, lambda x: F.struct(x["gram"].alias("gram"), x["first"].alias("first"), x["last"].alias("last")))
+    rest = F.array(F.struct(F.lit(0).cast("long").alias("gram"), F.lit(1).alias("first"), (length + 1).alias("last")))
+    return F.when(touched(firsts) <= edits, F.concat(taken, rest)).otherwise(taken)
+
+
+def near_place(x: Column, y: Column, most: int) -> Column:
+    """A gram that stays moves by the edits before it."""
+    return (x["first"] <= y["last"] + most) & (y["first"] <= x["last"] + most)
+
+
+def edits_needed(a: Column, b: Column, most: int) -> Column:
+    """At least so many edits turn a line into another, as their rare grams show that the other does not have."""
+    def missing(of: Column, other: Column) -> Column:
+        def known(x: Column) -> Column:
+            end = F.try_element_at(other, F.lit(-1))
+            return end.isNull() | (F.struct(x["rank"], x["gram"]) <= F.struct(end["rank"], end["gram"]))
+
+        lost = F.filter(of, lambda x: known(x) & ~F.exists(other, lambda y: (x["gram"] == y["gram"]) & near_place(x, y, most)))
+        return F.transform(lost, lambda x: x["first"])
+
+    def needed(of_a: Column, of_b: Column) -> Column:
+        # An edit touches grams of both only where they stand side by side.
+        apart = F.filter(of_a, lambda x: ~F.exists(of_b, lambda y: F.abs(x - y) < GRAM + most))
+        return touched(of_b) + touched(apart)
+
+    return _once(F.struct(missing(a, b).alias("a"), missing(b, a).alias("b")), lambda lost: needed(lost["a"], lost["b"]))
+
+
+def common_segments(distinct: DataFrame, threshold: Threshold = THRESHOLD) -> DataFrame:
+    """Segments that many lines share, with the length of those lines."""
+    length = F.length("line")
+    some = distinct.filter(F.pmod("one", F.lit(ONE_IN)) == 0).select(length.alias("length"), F.explode(index_keys(F.col("line"), length, threshold)).alias("segment"))
+    return stored(some.groupBy("segment", "length").count().filter(F.col("count") >= max(2, COMMON // ONE_IN)).select("segment", "length"))
+
+
+def met_in_common(distinct: DataFrame, common: DataFrame, threshold: Threshold = THRESHOLD) -> DataFrame:
+    """Pairs of lines (a, b) that share a common segment and a rare gram."""
+    most, length = most_edits(threshold), F.length("line")
+    # Only lines as long as those of a common segment, or a little longer, can have it.
+    lengths = common.select(F.explode(F.array(*[F.col("length") + k for k in range(most + 1)])).alias("length")).distinct()
+    fitting = distinct.withColumn("length", length).join(F.broadcast(lengths), "length", "left_semi")
+    keyed = fitting.select("code", index_keys(F.col("line"), length, threshold).alias("own"), probe_keys(F.col("line"), length, threshold).alias("sought"))
+    held = keyed.select("code", "own", F.explode(F.array_union("own", "sought")).alias("segment")).filter("segment is not null")
+    held = held.withColumn("is_own", F.array_contains("own", F.col("segment"))).drop("own")
+    segments = common.select("segment").distinct()
+    held = held.join(F.broadcast(segments) if few(segments) else segments, "segment")
+    members = stored(held.groupBy("code").agg(F.collect_set(F.when(F.col("is_own"), F.col("segment"))).alias("own"), F.collect_set("segment").alias("held")))
+    lines = stored(narrowed(distinct.select("code", "line"), members.select("code"), "code").join(members, "code"))
+    edits = allowed(length, threshold)
+    listed = stored(lines.select("code", "own", "held", length.alias("length"), edits.alias("edits"), rare_grams(F.col("line"), edits, gram_order(lines)).alias("rare")))
+    grams = listed.select("*", F.explode(meeting_grams(F.col("rare"), F.col("length"), F.col("edits"))).alias("gram"))
+    left, right = (grams.select(F.col("gram.gram").alias("key"), *(F.col(c).alias(f"{c}_{side}") for c in grams.columns)) for side in "ab")
+    limit = F.least("edits_a", "edits_b")
+    met = left.filter(F.size("own_a") > 0).drop("held_a").join(right.drop("own_b"), "key").filter(
+        (F.col("code_a") != F.col("code_b")) & near_place(F.col("gram_a"), F.col("gram_b"), most) & tallies_near(F.col("code_a"), F.col("code_b"), most)
+        & F.arrays_overlap("own_a", "held_b") & (edits_needed(F.col("rare_a"), F.col("rare_b"), most) <= limit))
+    return met.select(F.least("code_a", "code_b").alias("a"), F.greatest("code_a", "code_b").alias("b"))
+
+
 def near_lines(lines: DataFrame, threshold: Threshold = THRESHOLD) -> DataFrame:
     """Lines with a different line alike: one, two, links (how many), earlier (does one of them stand earlier?)."""
     most = most_edits(threshold)
@@ -196,7 +308,16 @@ def near_lines(lines: DataFrame, threshold: Threshold = THRESHOLD) -> DataFrame:
         together = left.join(right, "segment").filter((F.col("a") != F.col("b")) & tallies_near(F.col("a"), F.col("b"), most))
         return together.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
-    pairs = stored(met(own).union(met(sought)).distinct())
+    common = common_segments(distinct, threshold)
+    segments = common.select("segment").distinct()
+    if common.isEmpty():
+        together = met(own).union(met(sought))
+    else:
+        beside = met_in_common(distinct, common, threshold)
+        segments = F.broadcast(segments) if few(segments) else segments
+        own, sought = (keys.join(segments, "segment", "left_anti") for keys in (own, sought))
+        together = met(own).union(met(sought)).union(beside)
+    pairs = stored(together.distinct())
     wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("code")).distinct())
     if wanted.count() <= BROADCAST_LINES:
         wanted = F.broadcast(wanted)

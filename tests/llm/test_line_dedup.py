@@ -155,3 +155,44 @@ def test_letters_are_counted_once_a_line(spark, documents, monkeypatch):
     # The number is written with the line; nothing that is kept later counts the letters of all lines again.
     (columns, first), *later = kept
     assert "code" in columns and "shiftleft" in first and not any("shiftleft" in p for _, p in later)
+
+
+def family(rng, n, words):
+    """Lines made from one, each with a word or two of it replaced; some alike, some with a gram that repeats, some hardly longer than a gram."""
+    made, base = [], [f"{rng.choice('bdkt')}{rng.choice('aeio')}{rng.choice('lmns')}{rng.choice('aeio')}" for _ in range(words)]
+    for _ in range(n):
+        line = list(base)
+        for at in rng.sample(range(words), rng.randint(1, 2)):
+            line[at] = "".join(rng.choice("qwxyz") for _ in range(rng.randint(5, 7)))
+        made.append(" ".join(line))
+    near = [edited(rng, x, rng.randint(1, 3)) for x in rng.sample(made, n // 4)]
+    repeats = ["ab" * 30 + edited(rng, "ab" * 8, rng.randint(0, 3)) for _ in range(n // 6)]
+    return made + near + repeats + ["abcdefgh" + x for x in ("", "i", "ij", "kl")]
+
+
+def test_lines_of_one_family_meet_by_what_is_rare(documents, monkeypatch):
+    compared, store = [], line_dedup.stored
+
+    def counted(df):
+        kept = store(df)
+        if kept.columns == ["a", "b"]:
+            compared.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(line_dedup, "stored", counted)
+    monkeypatch.setattr(line_dedup, "COMMON", 6)
+    monkeypatch.setattr(line_dedup, "ONE_IN", 1)
+    monkeypatch.setattr(line_dedup, "GRAM_ONE_IN", 1)
+    rng = random.Random(31)
+    for threshold in (1, 3):
+        held = family(rng, 90, 14)
+        rng.shuffle(held)
+        rows = [(i, "\n".join(held[i * 4:i * 4 + 4])) for i in range(-(-len(held) // 4))]
+        want = brute(rows, threshold, 8)
+        got = line_dedup.dedup_report(documents([(i, t, "s") for i, t in rows]), threshold, 8).collect()
+        assert {r.doc_id: (r.n_removed, r.n_near, r.links) for r in got} == want
+    # The same result without common segments compares all that share one.
+    monkeypatch.setattr(line_dedup, "COMMON", 1 << 30)
+    got = line_dedup.dedup_report(documents([(i, t, "s") for i, t in rows]), threshold, 8).collect()
+    assert {r.doc_id: (r.n_removed, r.n_near, r.links) for r in got} == want
+    assert compared[-2] < compared[-1] / 2, compared
