@@ -25,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridcast.llm.store import few, narrowed, stored, written
+from gridcast.llm.store import few, let_go, narrowed, remove, stored, written
 
 THRESHOLD = 1
 MIN_CHARS = 20
@@ -298,6 +298,7 @@ def near_lines(lines: DataFrame, threshold: Threshold = THRESHOLD) -> DataFrame:
     # A key row is two numbers: the segment, and the line's hash, whose last bits are its tally. Counting letters costs more than the keys: once a line.
     code = F.shiftleft(F.shiftrightunsigned("one", TALLY_BITS), TALLY_BITS).bitwiseOR(tally(F.col("line"), length))
     distinct = written(first.withColumn("code", code), "distinct-lines")
+    let_go(lines.sparkSession)
     keyed = distinct.select("code", index_keys(F.col("line"), length, threshold).alias("own"), probe_keys(F.col("line"), length, threshold).alias("sought"))
     own = keyed.select("code", F.explode("own").alias("segment"))
     # A line seeks its own segments too, where they are; these rows are there already, and meet each other.
@@ -323,6 +324,9 @@ def near_lines(lines: DataFrame, threshold: Threshold = THRESHOLD) -> DataFrame:
         wanted = F.broadcast(wanted)
     letters = F.array(*[length - F.length(F.replace(F.col("line"), F.lit(x), F.lit(""))) for x in LETTERS])
     texts = stored(distinct.join(wanted, "code").withColumn("letters", letters))
+    # Pairs and their texts are stored; all other lines take their room no longer.
+    for folder in {file.rpartition("/")[0] for file in distinct.inputFiles()}:
+        remove(lines.sparkSession, folder)
     left, right = (texts.select(*(F.col(c).alias(f"{c}_{side}") for c in texts.columns)) for side in "ab")
     met = pairs.join(left, F.col("a") == F.col("code_a")).join(right, F.col("b") == F.col("code_b"))
     limit = allowed(F.least(F.length("line_a"), F.length("line_b")), threshold)

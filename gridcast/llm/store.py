@@ -59,6 +59,11 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have Spark delete the files of shuffles that nothing refers to any more, which it does when the driver's garbage is collected."""
+    spark._jvm.System.gc()
+
+
 def few(ids: DataFrame, limit: int = BROADCAST_IDS) -> bool:
     """Whether the frame, a column of numbers that is stored, is small enough to be sent to every task."""
     return ids.limit(limit + 1).count() <= limit
