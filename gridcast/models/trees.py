@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridcast.models.evaluate import random_split, standard_scale
+from gridcast.models.forest import score_with_forest
 from gridcast.session import discard, materialize, scratch_path
 
 
@@ -27,6 +28,8 @@ MAX_NODES = 500_000
 #: Nodes of a forest that are grown together (a few hundred bytes each in the driver), and what a task holds of their statistics.
 FOREST_NODES = 1_000_000
 STATISTICS_MB = 256
+#: Rows up to which a forest is left to the learner of ``pyspark.ml``.
+LEARNER_ROWS = 2_000
 
 
 def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -42,15 +45,21 @@ def fit_forest(
     """Split, scale and fit a random forest; returns the scored test rows. Every split looks at all features; ``depth`` is
     the most the learner allows. ``partitions`` spreads a small input, which is read many times, over more tasks.
 
-    Full trees grow with the rows, and the learner holds all trees of a fit at once, in the driver and in every task that
-    scores. So trees are fitted some at a time (:func:`trees_at_once`), and test rows carry the sum of the trees so far."""
+    The learner shuffles the statistics of every node, level by level, which takes minutes for full trees of some ten thousand rows. So
+    more than ``LEARNER_ROWS`` rows are added up per cell of bins, and trees grow whole in tasks (:mod:`gridcast.models.forest`): the same
+    bins, bootstraps, splits and leaves. What has too many cells for that goes to the learner too. It holds all trees of a fit at once, in the
+    driver and in every task that scores, so trees are fitted some at a time (:func:`trees_at_once`), and test rows carry the sum so far."""
     split = random_split(df, keys, seed=seed)
     train = split.filter("test = 0")
     scaled = materialize(standard_scale(train, split, features), "forest")
     fitted = assemble(scaled.filter("test = 0"), features)
-    fitted = fitted.repartition(partitions) if partitions else fitted
     # Complete rows only; the vector is made anew after each reading.
     scored, path = assemble(scaled.filter("test = 1"), features).drop("features"), None
+    if fitted.count() > LEARNER_ROWS:
+        found = score_with_forest(fitted.drop("features"), scored, features, target, trees, seed, depth, partitions or 1)
+        if found is not None:
+            return found
+    fitted = fitted.repartition(partitions) if partitions else fitted
     at_once, total = trees_at_once(fitted, features, trees), F.lit(0.0)
     for first in range(0, trees, at_once):
         model = RandomForestRegressor(
